@@ -46,7 +46,7 @@ def long_form(
         value = F.col(f"`{name}`")
         if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
             # Offset and padded, so the order of the texts is that of the numbers.
-            shifted = value.cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+            shifted = value.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
             return F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0")
         return value.cast("string")
 
