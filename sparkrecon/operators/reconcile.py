@@ -156,8 +156,12 @@ def typed_pair(
 
     pairs = [_comparable(src, dst, c, options) for c in fields]
     equal = F.lit(True)
-    for a, b in pairs:
-        equal = equal & a.eqNullSafe(b)
+    for c, (a, b) in zip(fields, pairs):
+        same = a.eqNullSafe(b)
+        if c in src.columns and c in dst.columns and src.schema[c].dataType == dst.schema[c].dataType:
+            # Values that are equal as they stand need no cleaning.
+            same = F.col(f"s.`{c}`").eqNullSafe(F.col(f"d.`{c}`")) | same
+        equal = equal & same
 
     strip = options.mode == INDEXED
     token = None if strip else options.null_token
@@ -341,70 +345,87 @@ def classified(pair: Pair) -> DataFrame:
 # --------------------------------------------------------------------------- counts
 
 
-def _zeros(*given: str) -> list[Column]:
-    return [F.lit(0).cast("long").alias(c) for c in COUNTS if c not in given]
+def _rows_of(df: DataFrame, groups: Sequence[str], kind: str) -> DataFrame:
+    """``(groups, kind, n)`` with the number of rows of a side."""
+    return df.groupBy(*groups).agg(F.count("*").alias("n")).select(
+        *groups, F.lit(kind).alias("kind"), "n"
+    )
 
 
-def _status_counts() -> list[Column]:
+def _indexed_counts(pair: Pair) -> list[DataFrame]:
+    groups = list(pair.groups)
     return [
-        F.count_if(F.col("status") == status).alias(name)
-        for status, name in zip(STATUSES, COUNTS[2:])
+        _classify(part, pair)
+        .groupBy(*groups, F.col("status").alias("kind"))
+        .agg(F.count("*").alias("n"))
+        for part in _indexed_parts(pair)
     ]
 
 
+def _first_match_counts(pair: Pair) -> list[DataFrame]:
+    """Each key met takes one destination row; all others are extra. The counts
+    per key need no further shuffle: the join has just placed them by key."""
+    groups, keys = list(pair.groups), list(pair.keys)
+    parts = [_rows_of(pair.destination, groups, "extra")]
+    for part in _first_match_parts(pair):
+        per_key = _classify(part, pair).groupBy(*keys).agg(
+            F.expr("count_if(status = 'match') AS n_match"),
+            F.expr("count_if(status = 'different') AS n_different"),
+            F.expr("count_if(status = 'missing') AS n_missing"),
+            F.expr("cast(bool_or(d IS NOT NULL) AS bigint) AS n_met"),
+        )
+        totals = per_key.groupBy(*groups).agg(
+            F.expr(
+                "array(named_struct('kind', 'match', 'n', sum(n_match)),"
+                " named_struct('kind', 'different', 'n', sum(n_different)),"
+                " named_struct('kind', 'missing', 'n', sum(n_missing)),"
+                " named_struct('kind', 'extra', 'n', -sum(n_met))) AS counts"
+            )
+        )
+        parts.append(totals.select(*groups, F.inline("counts")))
+    return parts
+
+
 def count_pair(
     pair: Pair,
     source_rows: DataFrame | None = None,
     destination_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts of a pair, one row per group. The optional frames are what the
-    raw row counts are taken from (by default the sides themselves)."""
-    groups, keys = list(pair.groups), list(pair.keys)
-    source_rows = pair.source if source_rows is None else source_rows
-    destination_rows = pair.destination if destination_rows is None else destination_rows
-    parts = [
-        source_rows.groupBy(*groups).agg(F.count("*").alias("rows_in_source"))
-        .select(*groups, "rows_in_source", *_zeros("rows_in_source")),
-        destination_rows.groupBy(*groups).agg(F.count("*").alias("rows_in_destination"))
-        .select(*groups, "rows_in_destination", *_zeros("rows_in_destination")),
-    ]
-    if pair.options.mode == INDEXED:
-        for part in _indexed_parts(pair):
-            counted = _classify(part, pair).groupBy(*groups).agg(*_status_counts())
-            parts.append(counted.select(*groups, *COUNTS[2:], *_zeros(*COUNTS[2:])))
-    else:
-        # Each key met takes one destination row; all others are extra. The counts
-        # per key need no further shuffle: the join has just placed them by key.
-        matched = F.max(F.col("d").isNotNull().cast("int")).cast("long")
-        for part in _first_match_parts(pair):
-            per_key = (
-                _classify(part, pair).groupBy(*keys).agg(*_status_counts()[:3], matched.alias("met"))
-            )
-            counted = per_key.groupBy(*groups).agg(
-                *[F.sum(c).alias(c) for c in COUNTS[2:5]], (-F.sum("met")).alias("extra_rows")
-            )
-            parts.append(counted.select(*groups, *COUNTS[2:], *_zeros(*COUNTS[2:])))
-        extra = destination_rows if destination_rows is pair.destination else pair.destination
-        parts.append(
-            extra.groupBy(*groups).agg(F.count("*").alias("extra_rows"))
-            .select(*groups, "extra_rows", *_zeros("extra_rows"))
-        )
-    total = union_all(parts).groupBy(*groups).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS]
+    """Counts of a pair, one row per group.
+
+    The raw row counts of a side are taken from the frame given for it; for a
+    side without one they are the sum of its classes, all of whose rows the
+    reconciliation has seen anyway."""
+    groups = list(pair.groups)
+    indexed = pair.options.mode == INDEXED
+    parts = _indexed_counts(pair) if indexed else _first_match_counts(pair)
+    if source_rows is not None:
+        parts.append(_rows_of(source_rows, groups, "source"))
+    if destination_rows is not None:
+        parts.append(_rows_of(destination_rows, groups, "destination"))
+
+    def total(name: str, *kinds: str) -> Column:
+        held = ", ".join(f"'{k}'" for k in kinds)
+        return F.expr(f"coalesce(sum(n) FILTER (WHERE kind IN ({held})), 0L) AS {name}")
+
+    source = ("source",) if source_rows is not None else ("match", "different", "missing")
+    destination = ("destination",) if destination_rows is not None else ("match", "different", "extra")
+    counts = union_all(parts).groupBy(*groups).agg(
+        total(COUNTS[0], *source),
+        total(COUNTS[1], *destination),
+        *[total(name, status) for status, name in zip(STATUSES, COUNTS[2:])],
     )
     if pair.options.compat_empty_side:
-        both = (F.col("rows_in_source") > 0) & (F.col("rows_in_destination") > 0)
-        total = total.select(
-            *groups,
-            *COUNTS[:2],
-            *[F.when(both, F.col(c)).otherwise(F.lit(0)).alias(c) for c in COUNTS[2:]],
+        both = "rows_in_source > 0 AND rows_in_destination > 0"
+        counts = counts.selectExpr(
+            *groups, *COUNTS[:2], *[f"if({both}, {c}, 0L) AS {c}" for c in COUNTS[2:]]
         )
-    return total
+    return counts
 
 
 def with_flags(counts: DataFrame) -> DataFrame:
-    bad = (F.col("different_rows") > 0) | (F.col("missing_rows") > 0) | (F.col("extra_rows") > 0)
-    return counts.withColumn("has_differences", bad).withColumn("success", ~bad)
+    bad = "different_rows > 0 OR missing_rows > 0 OR extra_rows > 0"
+    return counts.selectExpr("*", f"{bad} AS has_differences", f"NOT ({bad}) AS success")
 
 
 def _digest_pair(
@@ -472,8 +493,9 @@ def reconcile_summary(
         pair = _digest_pair(src, dst, key, order_by, options)
     else:
         pair = typed_pair(src, dst, key, order_by, options)
-    counts = count_pair(pair, source_rows=src, destination_rows=dst)
-    return with_flags(counts).select(F.lit(table).alias("table"), "*")
+    # The side reduced to a row per key is counted as it was.
+    raw = {"source_rows": src} if options.mode == INDEXED else {"destination_rows": dst}
+    return with_flags(count_pair(pair, **raw)).select(F.lit(table).alias("table"), "*")
 
 
 def reconcile_tables(

@@ -98,11 +98,17 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def small_table(df: DataFrame) -> DataFrame:
     """A metadata table computed once, if it is small; else the frame itself.
 
-    Up to ``LOOKUP_LIMIT`` rows are fetched and shipped to the tasks."""
+    Up to ``LOOKUP_LIMIT`` rows are fetched and kept as a local relation."""
     rows = df.limit(LOOKUP_LIMIT + 1).collect()
     if len(rows) > LOOKUP_LIMIT:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def _is_local(df: DataFrame) -> bool:
+    """Whether the rows of a frame are already on the driver."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.getClass().getSimpleName() == "LocalRelation"
 
 
 def lookup_join(
@@ -117,9 +123,9 @@ def lookup_join(
     Up to ``LOOKUP_LIMIT`` rows it is shipped to the tasks, so ``big`` does not
     shuffle. Beyond that both sides are salted, so a value of ``on`` that owns a
     third of ``big`` still spreads over many tasks."""
-    held = small_table(small)
-    if held is not small:
-        return big.join(held, list(on), how)
+    held = small if _is_local(small) else small_table(small)
+    if _is_local(held):
+        return big.join(F.broadcast(held), list(on), how)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("_salt", salt)
@@ -140,24 +146,3 @@ def repeat_rows(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     return spread.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))
     ).drop("_block", "_copy", times)
-
-
-def ensure_checkpoint_dir(spark) -> None:
-    """Use the shared folder of the cluster; make one only for a local session."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        shared = tempfile.mkdtemp(prefix="recon-checkpoint-")
-    context.setCheckpointDir(shared)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -36,8 +36,8 @@ def _mod(name: str, n: int) -> Column:
     return F.col(name) % n == 0
 
 
-def orders_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, k = orders(spark, sf_dir), "o_orderkey"
+def orders_dst(src: DataFrame) -> DataFrame:
+    k = "o_orderkey"
     price = F.when(_mod(k, 7), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     changed = src.where(~_mod(k, 11)).withColumns(
         {
@@ -58,8 +58,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = lineitem(spark, sf_dir)
+def lineitem_dst(src: DataFrame) -> DataFrame:
     more = F.when(_mod("l_partkey", 5), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
     changed = src.where((F.col("l_orderkey") + F.col("l_linenumber")) % 7 != 0).withColumn(
         "l_quantity", more.cast("decimal(18,2)")
@@ -76,8 +75,8 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, k = customer(spark, sf_dir), "c_custkey"
+def customer_dst(src: DataFrame) -> DataFrame:
+    k = "c_custkey"
     balance = F.when(_mod(k, 6), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     changed = src.where(F.col(k) % 10 != 3).withColumns(
         {
@@ -94,8 +93,8 @@ def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def supplier_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, k = supplier(spark, sf_dir), "s_suppkey"
+def supplier_dst(src: DataFrame) -> DataFrame:
+    k = "s_suppkey"
     name = F.when(_mod(k, 4), F.concat("s_name", F.lit(" Ltd"))).otherwise(F.col("s_name"))
     return src.where(~_mod(k, 9)).withColumn("s_name", name)
 
@@ -110,24 +109,25 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, k = part(spark, sf_dir), "p_partkey"
+def part_dst(src: DataFrame) -> DataFrame:
+    k = "p_partkey"
     return src.where(~_mod(k, 8)).withColumn(
         "p_size", F.when(_mod(k, 3), F.col("p_size") + 1).otherwise(F.col("p_size"))
     )
 
 
 def typed_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    def pair(source, destination):
-        return source(spark, sf_dir), destination(spark, sf_dir)
-
-    return {
-        "customer": pair(customer, customer_dst),
-        "nation": pair(nation, nation),
-        "orders": pair(orders, orders_dst),
-        "part": pair(part, part_dst),
-        "supplier": pair(supplier, supplier_dst),
+    sources = {
+        "customer": customer, "nation": nation, "orders": orders, "part": part, "supplier": supplier,
     }
+    changes = {
+        "customer": customer_dst, "orders": orders_dst, "part": part_dst, "supplier": supplier_dst,
+    }
+    both = {}
+    for name, read in sources.items():
+        src = read(spark, sf_dir)
+        both[name] = (src, changes[name](src) if name in changes else src)
+    return both
 
 
 KEYS = {

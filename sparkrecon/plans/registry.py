@@ -17,7 +17,8 @@ from sparkrecon.operators.reconcile import (
     reconcile_summary,
     reconcile_tables,
 )
-from sparkrecon.operators.skew import checkpoint, ensure_checkpoint_dir, union_all
+from sparkrecon.operators.skew import union_all
+from sparkrecon.operators.stage import stage_folder, staged
 from sparkrecon.operators.tables import (
     conform_columns,
     long_form,
@@ -43,11 +44,13 @@ FORCED_FIRST = ReconOptions(mode=FIRST_MATCH, skew="always", skew_min_rows=1)
 
 
 def _orders(spark, sf):
-    return pairs.orders(spark, sf), pairs.orders_dst(spark, sf)
+    src = pairs.orders(spark, sf)
+    return src, pairs.orders_dst(src)
 
 
 def _lineitem(spark, sf):
-    return pairs.lineitem(spark, sf), pairs.lineitem_dst(spark, sf)
+    src = pairs.lineitem(spark, sf)
+    return src, pairs.lineitem_dst(src)
 
 
 def recon_indexed_summary(spark, sf):
@@ -154,12 +157,13 @@ def field_diff_common_columns(spark, sf):
 
 def _padded(spark, sf):
     k = F.col("c_custkey")
-    base = pairs.customer(spark, sf).select(
+    customer = pairs.customer(spark, sf)
+    base = customer.select(
         k,
         F.when(k % 25 != 0, F.col("c_name")).alias("c_name"),
         F.when(k % 14 != 0, F.col("c_mktsegment")).alias("c_mktsegment"),
     )
-    padded = pairs.customer(spark, sf).select(
+    padded = customer.select(
         k,
         F.when(k % 3 == 0, F.concat(F.lit("\t"), F.col("c_name"), F.lit("\xa0 ")))
         .when(k % 5 != 0, F.col("c_name"))
@@ -264,7 +268,7 @@ def choose_key(spark, sf):
             for table, (name, order) in frames.items()
         ]
     )
-    chosen = keys.table_keys(rows, rows)
+    chosen = keys.table_keys(rows, rows).select("table", "key_column")
     shown = keys.first_fields(rows, "fields").select(
         "table", keys.display_key_of(F.col("fields")).alias("display_column")
     )
@@ -457,7 +461,7 @@ def ingest_conform_columns(spark, sf):
     texts = _dump(df.where(~short), "supplier", "s_suppkey", df.columns).unionByName(
         _dump(few, "supplier", "s_suppkey", few.columns, file="dump.short.sql")
     )
-    conformed = conform_columns(checkpoint(inserts(_parse(texts))))
+    conformed = conform_columns(staged(inserts(_parse(texts))))
     return to_table(to_rows(conformed), df.columns)
 
 
@@ -473,7 +477,7 @@ def ingest_then_reconcile(spark, sf):
         for name in ("customer", "supplier"):
             df = tables[name][which]
             texts.append(_dump(df, name, pairs.KEYS[name], df.columns, file=f"side{which}.sql"))
-        return checkpoint(inserts(_parse(union_all(texts))))
+        return staged(inserts(_parse(union_all(texts))))
 
     return reconcile_inserts(dumps(0), dumps(1))[0]
 
@@ -509,10 +513,11 @@ def validate_suite(spark, sf):
 
 
 def compare_suite(spark, sf):
+    customer = pairs.customer(spark, sf)
     return expectations.compare_tables(
         {
             "orders": (pairs.orders(spark, sf), _checked_orders(spark, sf)),
-            "customer": (pairs.customer(spark, sf), pairs.customer_dst(spark, sf)),
+            "customer": (customer, pairs.customer_dst(customer)),
         }
     )
 
@@ -596,10 +601,9 @@ def embed_rows(spark, sf):
 
 def report_catalog(spark, sf):
     """Two runs written as reports and listed again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/reports-{uuid.uuid4()}"
+    folder = f"{stage_folder(spark)}/reports-{uuid.uuid4()}"
     store = ReportStore(spark, folder)
-    summary = checkpoint(_summary(spark, sf))
+    summary = staged(_summary(spark, sf))
     details = reconcile_rows(*_long_sides(spark, sf, ("supplier",)))
     for report_id, moment in (
         ("20240101_000000", "2024-01-01T00:00:00"),

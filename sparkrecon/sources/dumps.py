@@ -181,9 +181,8 @@ def _null_if_word(text: Column) -> Column:
     return F.when(F.lower(text) != "null", text)
 
 
-def _clean_text(item: Column, options: IngestOptions) -> Column:
+def _clean_text(text: Column, options: IngestOptions) -> Column:
     """Quoted text is taken literally but for its ends; a bare ``null`` is null."""
-    text = strip_text(item)
 
     def literal(quote: str) -> Column:
         body = _unquoted(text, quote)
@@ -219,8 +218,7 @@ def _clean_literal_again(item: Column, options: IngestOptions) -> Column:
     return F.when(item.startswith("'") | item.startswith('"'), text).otherwise(again)
 
 
-def _clean_docx(item: Column) -> Column:
-    text = strip_text(item)
+def _clean_docx(text: Column) -> Column:
     bare = F.length(text) == 1
     return (
         F.when(_is_quoted(text, "'"), F.substring(text, F.lit(2), F.length(text) - 2))
@@ -235,7 +233,9 @@ def _text_values(tuple_text: Column, options: IngestOptions) -> Column:
         items = F.regexp_extract_all(
             F.concat(F.lit(","), inner), F.lit(P.item_pattern(options)), F.lit(1)
         )
-        values = F.transform(items, lambda t: _clean_text(t, options))
+        # Stripped in a step of its own: a lambda computes each use of a value anew.
+        bare = F.transform(items, strip_text)
+        values = F.transform(bare, lambda t: _clean_text(t, options))
         empty = F.array().cast("array<string>")
         return F.when(strip_text(inner) == "", empty).otherwise(values)
     tokens = F.regexp_extract_all(inner, F.lit(P.HISTORIC_ITEM), F.lit(0))
@@ -247,7 +247,7 @@ def _docx_values(inner: Column) -> Column:
     items = F.regexp_extract_all(F.concat(F.lit(","), inner), F.lit(P.DOCX_ITEM), F.lit(1))
     blank_end = strip_text(F.element_at(items, -1)) == ""
     kept = F.when(blank_end, F.slice(items, 1, F.size(items) - 1)).otherwise(items)
-    return F.transform(kept, _clean_docx)
+    return F.transform(F.transform(kept, strip_text), _clean_docx)
 
 
 def _tuples(values: Column, dialect: Column, options: IngestOptions) -> Column:
@@ -293,10 +293,12 @@ def parse_statements(
             F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("column_"), i.cast("string"))
         ),
     )
-    tuples = heads.select(
+    # Named before the tuples are taken apart, so no tuple carries all the others.
+    named = heads.withColumn("columns", F.coalesce("listed", generic)).drop("listed")
+    tuples = named.select(
         "schema",
         "table",
-        F.coalesce("listed", generic).alias("columns"),
+        "columns",
         F.posexplode_outer("tuples").alias("tuple", "values"),
         "raw_statement",
         "path",
