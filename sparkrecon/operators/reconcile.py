@@ -27,6 +27,7 @@ from sparkrecon.functions.rows import (
     without_fields,
 )
 from sparkrecon.functions.text import norm_key, strip_text, text_or_token
+from sparkrecon.operators.rollup import cap_rows
 from sparkrecon.operators.skew import find_hot, join_one, lookup_join, repeat_rows, union_all
 from sparkrecon.options import INDEXED, ReconOptions
 
@@ -330,6 +331,25 @@ def _first_match_extras(pair: Pair) -> DataFrame:
     return union_all(extras)
 
 
+def capped(frame: DataFrame, pair: Pair, limit: int | None) -> DataFrame:
+    """At most ``limit`` rows per table and class, the first by key, cut before
+    the detail maps are built."""
+    if limit is None:
+        return frame
+    held = frame.schema["s"].dataType
+    sides = [F.map_entries(c) if isinstance(held, T.MapType) else F.col(c) for c in ("s", "d")]
+    names = [f"_k{i}" for i, _ in enumerate(pair.keys)]
+    texts = {n: F.col(k).cast("string") for n, k in zip(names, pair.keys)}
+    if all(_hashable(frame.schema[c].dataType) for c in ("s", "d")):
+        texts["_h"] = F.xxhash64(*sides)
+    cut = cap_rows(frame.withColumns(texts), [*pair.groups, "status"], list(texts), limit)
+    return cut.drop(*texts)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or _orderable(kind)
+
+
 def classified(pair: Pair) -> DataFrame:
     """``(keys, s, d, status)``, one row per classified row."""
     if pair.options.mode == INDEXED:
@@ -431,7 +451,7 @@ def with_flags(counts: DataFrame) -> DataFrame:
 def _digest_pair(
     src: DataFrame, dst: DataFrame, key: str | None, order_by, options: ReconOptions
 ) -> Pair:
-    """A pair whose rows are 128 bits of hash over the compared values.
+    """A pair whose rows are a wide hash over the compared values.
 
     Only for counts: the shuffles carry key, order and hash instead of rows."""
     key = key or src.columns[0]
@@ -439,25 +459,41 @@ def _digest_pair(
     fields = sorted(_compared_fields(src, dst, options))
     full = typed_pair(src, dst, key, order_by, options)
 
-    def core(df: DataFrame, which: int) -> DataFrame:
+    def digest(df: DataFrame, which: int) -> DataFrame:
         values: list[Column] = []
-        prefixed = df.withColumn("s" if which == 0 else "d", F.col("r"))
         for name in fields:
             value = _comparable(src, dst, name, options)[which]
             # A null leaves a hash unchanged, so it is hashed as a flag of its own.
             values += [value, value.isNull()]
-        digest = F.struct(
-            F.xxhash64(*values).alias("h1"), F.xxhash64(F.lit("second"), *values).alias("h2")
-        )
-        return prefixed.withColumn("r", digest).drop("s", "d")
+        row = df.withColumnRenamed("r", "sd"[which])
+        return row.withColumn("r", _wide_hash(values)).drop("s", "d")
+
+    # An order of one number or day and a numeric digest are combined by hashing.
+    kind = src.schema[order_by[0]].dataType
+    numeric = isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    flat = len(order_by) == 1 and numeric
+
+    def order(df: DataFrame) -> DataFrame:
+        return df.withColumn("o", F.col(f"o.`{order_by[0]}`")) if flat else df
 
-    equal = F.col("s").eqNullSafe(F.col("d"))
     return replace(
-        full, source=core(full.source, 0), destination=core(full.destination, 1),
-        ordered=False, equal=equal,
+        full,
+        source=order(digest(full.source, 0)),
+        destination=order(digest(full.destination, 1)),
+        ordered=flat,
+        equal=F.col("s").eqNullSafe(F.col("d")),
     )
 
 
+def _wide_hash(values: Sequence[Column]) -> Column:
+    """126 bits of two independent hashes as one decimal number."""
+    def half(*columns: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*columns), 1).cast("decimal(19,0)")
+
+    high = half(*values) * F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return (high + half(F.lit("second"), *values)).cast("decimal(38,0)")
+
+
 # --------------------------------------------------------------------------- public
 
 
@@ -467,11 +503,13 @@ def reconcile(
     key: str | None = None,
     order_by: Sequence[str] | None = None,
     options: ReconOptions = ReconOptions(),
+    limit: int | None = None,
 ) -> DataFrame:
     """Detail rows ``(status, key, source_row, destination_row, differences)``
-    of one typed table; the key defaults to the first source column."""
+    of one typed table; the key defaults to the first source column. ``limit``
+    keeps the first rows of each class only."""
     pair = typed_pair(src, dst, key, order_by, options)
-    return pair.present(classified(pair))
+    return pair.present(capped(classified(pair), pair, limit))
 
 
 def reconcile_summary(
@@ -485,11 +523,13 @@ def reconcile_summary(
 ) -> DataFrame:
     """One summary row of a typed table.
 
-    ``compare='digest'`` shuffles a 128-bit hash per row instead of the row; it
+    ``compare='digest'`` shuffles a 126-bit hash per row instead of the row; it
     needs an ``order_by`` that decides between different rows of a key."""
     if compare not in ("exact", "digest"):
         raise ValueError(f"unknown comparison {compare!r}")
-    if compare == "digest" and order_by:
+    if compare == "digest" and not order_by:
+        raise ValueError("compare='digest' needs order_by")
+    if compare == "digest":
         pair = _digest_pair(src, dst, key, order_by, options)
     else:
         pair = typed_pair(src, dst, key, order_by, options)
@@ -515,11 +555,15 @@ def reconcile_tables(
 
 
 def reconcile_rows(
-    source: DataFrame, destination: DataFrame, options: ReconOptions = ReconOptions()
+    source: DataFrame,
+    destination: DataFrame,
+    options: ReconOptions = ReconOptions(),
+    limit: int | None = None,
 ) -> DataFrame:
-    """Detail rows of all tables of two long frames in one job."""
+    """Detail rows of all tables of two long frames in one job, on request the
+    first ``limit`` rows of each table and class only."""
     pair = long_pair(source, destination, options)
-    details = pair.present(classified(pair))
+    details = pair.present(capped(classified(pair), pair, limit))
     if options.compat_empty_side:
         names = source.select("table").distinct()
         other = destination.select("table").distinct()

@@ -82,14 +82,9 @@ def cap_rows(
 def cap_details(details: DataFrame, limit: int = DETAIL_CAP) -> DataFrame:
     """At most ``limit`` detail rows per table and class, by key."""
     groups = ["table", "status"] if "table" in details.columns else ["status"]
-    texts = details.withColumns(
-        {
-            "_s": F.to_json("source_row"),
-            "_d": F.to_json("destination_row"),
-        }
-    )
-    order = ["key", "_s", "_d"]
-    return cap_rows(texts, groups, order, limit).drop("_s", "_d")
+    sides = [F.map_entries("source_row"), F.map_entries("destination_row")]
+    marked = details.withColumn("_h", F.xxhash64(*sides))
+    return cap_rows(marked, groups, ["key", "_h"], limit).drop("_h")
 
 
 def diff_listing(details: DataFrame, id_field: str | None = None) -> DataFrame:

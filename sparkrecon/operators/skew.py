@@ -146,3 +146,28 @@ def repeat_rows(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     return spread.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))
     ).drop("_block", "_copy", times)
+
+
+def first_of_few(
+    df: DataFrame, groups: Sequence[str], value: str, rank: Column
+) -> DataFrame:
+    """``(groups, value)`` with the value of the row of smallest ``rank``, for a
+    value that has few variants per group, such as a column list.
+
+    Reducing to the variants needs no sort and mostly decides already; only the
+    groups with several variants are ranked row by row."""
+    groups = list(groups)
+    ranked = df.groupBy(*groups).agg(F.min_by(value, rank).alias(value))
+    variants = small_table(df.select(*groups, value).distinct())
+    if not _is_local(variants):
+        return ranked
+    counted = variants.groupBy(*groups).agg(
+        F.count("*").alias("_n"), F.any_value(value).alias(value)
+    )
+    sure = counted.where("_n = 1").drop("_n")
+    open_groups = small_table(counted.where("_n > 1").select(*groups))
+    if open_groups.isEmpty():
+        return small_table(sure)
+    rest = df.join(F.broadcast(open_groups), groups, "left_semi")
+    found = rest.groupBy(*groups).agg(F.min_by(value, rank).alias(value))
+    return sure.unionByName(found)

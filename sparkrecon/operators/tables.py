@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.functions.rows import META_COLUMNS, row_map
-from sparkrecon.operators.skew import lookup_join
+from sparkrecon.operators.skew import first_of_few, lookup_join
 
 
 def table_columns(inserts: DataFrame) -> DataFrame:
     """``(schema, table, columns)``: the longest column list of each table, the
-    first one among equals. Combined per task before the shuffle."""
+    first one among equals."""
     rank = F.struct((-F.size("columns")).alias("n"), "ord")
-    return inserts.groupBy("schema", "table").agg(F.min_by("columns", rank).alias("columns"))
+    held = inserts.select("schema", "table", "columns", "ord")
+    return first_of_few(held, ["schema", "table"], "columns", rank)
 
 
 def conform_columns(inserts: DataFrame) -> DataFrame:

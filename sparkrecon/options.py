@@ -60,9 +60,11 @@ class IngestOptions:
 
     ``split``
         ``file`` reads each file as one record, ``statement`` splits text files
-        at ``;`` while reading, so that one large file feeds many tasks.
+        at ``;`` while reading, so that one large file feeds many tasks, and
+        ``auto`` does so for files of more than ``whole_file_bytes``. A split
+        file may end in a statement without ``;``, which then counts as well.
     ``quote_aware``
-        ``True`` keeps a ``;`` inside a literal (``file`` split only).
+        ``True`` keeps a ``;`` inside a literal (whole files only).
     ``backslash_escapes``
         ``True`` lets a backslash protect the quote after it, ``False`` reads
         literals as in standard SQL, where only a doubled quote is one.
@@ -70,7 +72,8 @@ class IngestOptions:
     (default) and the lenient historic one (:meth:`historic`).
     """
 
-    split: str = "file"
+    split: str = "auto"
+    whole_file_bytes: int = 256 << 20
     recursive: bool = False
     quote_aware: bool = False
     backslash_escapes: bool = True
@@ -80,10 +83,10 @@ class IngestOptions:
     quoted_null_is_text: bool = True
 
     def __post_init__(self) -> None:
-        if self.split not in ("file", "statement"):
+        if self.split not in ("auto", "file", "statement"):
             raise ValueError(f"unknown split {self.split!r}")
         if self.quote_aware and self.split == "statement":
-            raise ValueError("quote_aware needs split='file'")
+            raise ValueError("quote_aware needs whole files")
 
     @classmethod
     def historic(cls, **kwargs: Any) -> IngestOptions:

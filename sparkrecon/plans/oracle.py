@@ -297,6 +297,10 @@ def oracle_sql() -> dict[str, str]:
         "norm_literal_null": literal,
         "detail_cap_topn": f"""SELECT key, status FROM (SELECT *, row_number() OVER
           (PARTITION BY status ORDER BY key) AS rn FROM ({indexed_rows('orders')})) WHERE rn <= 100""",
+        "detail_cap_long": f"""SELECT "table", key, status FROM (SELECT *, row_number() OVER
+          (PARTITION BY "table", status ORDER BY key) AS rn FROM
+          (SELECT 'customer' AS "table", * FROM ({indexed_rows('customer')})
+          UNION ALL SELECT 'supplier', * FROM ({indexed_rows('supplier')}))) WHERE rn <= 20""",
         "missing_listing": f"{missing_fields('customer')} UNION ALL {missing_fields('supplier')}",
         "multi_table_summary": summaries(),
         "multi_table_summary_long": summaries(),

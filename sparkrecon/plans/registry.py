@@ -185,7 +185,12 @@ def norm_literal_null(spark, sf):
 
 
 def detail_cap_topn(spark, sf):
-    return rollup.cap_details(reconcile(*_orders(spark, sf), "o_orderkey")).select("key", "status")
+    return reconcile(*_orders(spark, sf), "o_orderkey", limit=100).select("key", "status")
+
+
+def detail_cap_long(spark, sf):
+    details = reconcile_rows(*_long_sides(spark, sf, ("customer", "supplier")))
+    return rollup.cap_details(details, 20).select("table", "key", "status")
 
 
 # --------------------------------------------------------------------------- many tables
@@ -636,6 +641,7 @@ def queries() -> dict[str, Query]:
         "norm_trim_null": norm_trim_null,
         "norm_literal_null": norm_literal_null,
         "detail_cap_topn": detail_cap_topn,
+        "detail_cap_long": detail_cap_long,
         "missing_listing": missing_listing,
         "multi_table_summary": _summary,
         "multi_table_summary_long": multi_table_summary_long,

@@ -104,6 +104,15 @@ def _statements(
         parts.append(_split_statements(_reader(spark, options, "text", globs[0]), text))
     elif text:
         files = _reader(spark, options, "binaryFile", globs[0]).load(list(text))
+        if options.split == "auto":
+            small = F.col("length") <= options.whole_file_bytes
+            # Only names and sizes are read here.
+            large = [r["path"] for r in files.where(~small).select("path").collect()]
+            if large and options.quote_aware:
+                raise ValueError(f"too large to read as a whole for quote_aware: {large[0]}")
+            if large:
+                parts.append(_split_statements(_reader(spark, options, "text", None), large))
+                files = files.where(small)
         files = files.select("path", _decoded(F.col("content")).alias("content"))
         parts.append(_whole_statements(files, P.statement_pattern(options), "text"))
     if docx:

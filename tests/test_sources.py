@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from sparkrecon.options import IngestOptions
 from sparkrecon.sources.dumps import (
     ingest_directory,
@@ -74,6 +76,16 @@ def test_statement_split_equals_whole_files(spark, tmp_path):
     assert ordered == [tuple(r["values"]) for r in whole.orderBy("ord").collect()]
 
 
+def test_large_files_are_split_on_their_own(spark, tmp_path):
+    (tmp_path / "big.sql").write_text("".join(f"INSERT INTO t VALUES ({i});" for i in range(200)))
+    (tmp_path / "small.sql").write_text("INSERT INTO t VALUES ('s'); INSERT INTO t VALUES ('open')")
+    options = IngestOptions(whole_file_bytes=1000)
+    got = tables(ingest_directory(spark, str(tmp_path), options))
+    assert got == tables(ingest_directory(spark, str(tmp_path))) and len(got) == 201
+    with pytest.raises(ValueError, match="big.sql"):
+        ingest_directory(spark, str(tmp_path), IngestOptions(whole_file_bytes=1000, quote_aware=True))
+
+
 def test_empty_directory(spark, tmp_path):
     assert ingest_directory(spark, str(tmp_path)).count() == 0
 
