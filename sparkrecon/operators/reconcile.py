@@ -317,7 +317,9 @@ def _first_match_extras(pair: Pair) -> DataFrame:
     info = first.join(known, keys, "left")
     hot = find_hot(dst.select(*keys), keys, pair.options)
     parts = join_one(dst.withColumn("p", place), info, keys, "inner", hot)
-    is_first = F.coalesce(F.col("known"), F.lit(False)) & F.col("p").eqNullSafe(F.col("f"))
+    # No row comes before the first one, so "not after" means equal; as a range
+    # condition it leaves both joins below on the same keys and shuffles.
+    is_first = F.coalesce(F.col("known"), F.lit(False)) & (F.col("p") <= F.col("f"))
     extras = [p.where(~is_first).select(*keys, F.col("r").alias("d")) for p in parts]
     if not pair.ordered:
         # Exact copies of the first row: one of them was matched, the rest is extra.

@@ -110,14 +110,18 @@ def summaries(tables=tuple(sorted(KEYS))) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({summary(t, indexed_rows(t))})" for t in tables)
 
 
-OVERALL = f"""SELECT count(*) AS total_tables, CAST(sum(rows_in_source) AS BIGINT) AS total_rows_source,
+def overall(tables=tuple(sorted(KEYS))) -> str:
+    return f"""SELECT count(*) AS total_tables, CAST(sum(rows_in_source) AS BIGINT) AS total_rows_source,
   CAST(sum(rows_in_destination) AS BIGINT) AS total_rows_destination,
   CAST(sum(matching_rows) AS BIGINT) AS total_matching_rows,
   CAST(sum(different_rows) AS BIGINT) AS total_different_rows,
   CAST(sum(missing_rows) AS BIGINT) AS total_missing_rows,
   CAST(sum(extra_rows) AS BIGINT) AS total_extra_rows, bool_and(NOT has_differences) AS all_matched,
   round(sum(matching_rows) / sum(rows_in_source) * 100, 1) AS match_percentage
-FROM ({summaries()})"""
+FROM ({summaries(tables)})"""
+
+
+OVERALL = overall()
 
 
 def diff_listing(table: str, names=None, source: str | None = None, destination: str | None = None,
@@ -264,6 +268,7 @@ def oracle_sql() -> dict[str, str]:
       FROM (SELECT "table", 's' AS side FROM ({_names(SOURCE_TABLES)})
       UNION ALL SELECT "table", 'd' FROM ({_names(DESTINATION_TABLES)})) GROUP BY "table" """
     hot = indexed_rows("lineitem", "l_returnflag")
+    two_tables = overall(("customer", "supplier"))
     return {
         "recon_indexed_summary": summary("orders", indexed_rows("orders")),
         "recon_indexed_summary_digest": summary("orders", indexed_rows("orders")),
@@ -276,6 +281,14 @@ def oracle_sql() -> dict[str, str]:
         "recon_indexed_hot_key": summary("lineitem", hot),
         "recon_first_match_hot_key": f"""SELECT status, count(*) AS row_count FROM
           ({first_match_rows("lineitem", "l_returnflag")}) GROUP BY status""",
+        "recon_empty_side": f"""SELECT 'orders' AS "table", count(*) AS rows_in_source,
+          CAST(0 AS BIGINT) AS rows_in_destination, CAST(0 AS BIGINT) AS matching_rows,
+          CAST(0 AS BIGINT) AS different_rows, count(*) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows,
+          count(*) > 0 AS has_differences, count(*) = 0 AS success FROM ({ORDERS})""",
+        "recon_compat_empty_side": f"""SELECT 'orders' AS "table", count(*) AS rows_in_source,
+          CAST(0 AS BIGINT) AS rows_in_destination, CAST(0 AS BIGINT) AS matching_rows,
+          CAST(0 AS BIGINT) AS different_rows, CAST(0 AS BIGINT) AS missing_rows,
+          CAST(0 AS BIGINT) AS extra_rows, FALSE AS has_differences, TRUE AS success FROM ({ORDERS})""",
         "missing_rows": f"""SELECT {', '.join(o_cols)} FROM ({ORDERS}) WHERE o_orderkey NOT IN
           (SELECT o_orderkey FROM ({ORDERS_DST}))""",
         "extra_rows": f"""SELECT {', '.join(o_cols)} FROM ({ORDERS_DST}) WHERE o_orderkey NOT IN
@@ -354,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "source_only_tables": _names(t for t in SOURCE_TABLES if t not in DESTINATION_TABLES),
         "destination_only_tables": _names(t for t in DESTINATION_TABLES if t not in SOURCE_TABLES),
         "table_status": status_ddl,
+        "mismatched_tables": f"SELECT * FROM ({status_ddl}) WHERE status <> 'both'",
         "schema_from_filename": """SELECT url, CASE WHEN contains(lower(stem), 'example') THEN 'example'
           WHEN contains(lower(stem), 'item') THEN 'Item' ELSE lower(stem) END AS schema_name FROM
           (SELECT url, regexp_replace(split_part(url, '/', -1), '(.)[.][^.]*$', '\\1') AS stem FROM pages)""",
@@ -363,6 +377,8 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS l_shipdate_t,
           CASE WHEN l_orderkey % 5 = 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) END AS q FROM lineitem)""",
         "ingest_rows": c_text,
+        "scan_dump_files": c_text,
+        "scan_dump_statements": c_text,
         "ingest_quoted_text": f"""SELECT CAST(page_id AS VARCHAR) AS page_id, trim(url, {BLANKS}) AS url,
           trim(html, {BLANKS}) AS html FROM pages""",
         "ingest_long_text": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
@@ -414,4 +430,12 @@ def oracle_sql() -> dict[str, str]:
           total_matching_rows AS matching_rows, total_different_rows AS different_rows,
           total_missing_rows AS missing_rows, match_percentage FROM ({OVERALL}),
           (VALUES ('20240101_000000', '2024-01-01T00:00:00'), ('20240202_000000', '2024-02-02T00:00:00')) v(id, ts)""",
+        "report_lookup": f"""SELECT '20240202_000000' AS report_id, '2024-02-02T00:00:00' AS "timestamp",
+          * EXCLUDE (match_percentage) FROM ({OVERALL})""",
+        "report_documents": f"""SELECT "table", success, rows_in_source,
+          least(matching_rows, 25) AS matching_rows, least(different_rows, 25) AS different_rows,
+          least(missing_rows, 25) AS missing_rows, least(extra_rows, 25) AS extra_rows
+          FROM ({summaries(("customer", "supplier"))})""",
+        "run_direct": two_tables,
+        "run_document": two_tables,
     }

@@ -26,11 +26,17 @@ from sparkrecon.operators.tables import (
     to_table,
     where_table,
 )
-from sparkrecon.options import FIRST_MATCH, IngestOptions, ReconOptions
+from sparkrecon.options import FIRST_MATCH, IngestOptions, ReconOptions, RunOptions
 from sparkrecon.plans import pairs
-from sparkrecon.plans.validation import reconcile_inserts
-from sparkrecon.sources.dumps import inserts, parse_statements, rejects, statements_of_text
-from sparkrecon.sources.reports import ReportStore, overall_document
+from sparkrecon.plans.validation import reconcile_inserts, run
+from sparkrecon.sources.dumps import (
+    ingest_directory,
+    inserts,
+    parse_statements,
+    rejects,
+    statements_of_text,
+)
+from sparkrecon.sources.reports import ReportStore, overall_document, table_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +109,18 @@ def _plain_rows(details: DataFrame, side: str, like: DataFrame) -> DataFrame:
     )
 
 
+def recon_empty_side(spark, sf):
+    src = pairs.orders(spark, sf)
+    return reconcile_summary(src, src.where("o_orderkey < 0"), "orders", "o_orderkey")
+
+
+def recon_compat_empty_side(spark, sf):
+    src = pairs.orders(spark, sf)
+    options = ReconOptions(compat_empty_side=True)
+    none = src.where("o_orderkey < 0")
+    return reconcile_summary(src, none, "orders", "o_orderkey", options=options)
+
+
 def missing_rows(spark, sf):
     src, dst = _orders(spark, sf)
     details = reconcile(src, dst, "o_orderkey").where("status = 'missing'")
@@ -338,6 +356,10 @@ def table_status(spark, sf):
     return catalog.table_status(*_catalog_sides(spark, sf))
 
 
+def mismatched_tables(spark, sf):
+    return catalog.mismatched_tables(*_catalog_sides(spark, sf))
+
+
 def schema_names(spark, sf):
     return pairs.load(spark, sf, "pages").select(
         "url", schema_from_filename(F.col("url"), ["example", "Item"]).alias("schema_name")
@@ -487,6 +509,55 @@ def ingest_then_reconcile(spark, sf):
     return reconcile_inserts(dumps(0), dumps(1))[0]
 
 
+def _written(spark: SparkSession, texts: DataFrame) -> str:
+    """Dump files below a new folder."""
+    folder = f"{stage_folder(spark)}/dumps-{uuid.uuid4()}"
+    texts.select("content").write.text(folder)
+    return folder
+
+
+def _scanned(spark, sf, options: IngestOptions) -> DataFrame:
+    df = pairs.customer(spark, sf)
+    folder = _written(spark, _dump(df, "crm.customer", "c_custkey", df.columns))
+    return to_table(to_rows(ingest_directory(spark, folder, options)), df.columns)
+
+
+def scan_dump_files(spark, sf):
+    return _scanned(spark, sf, IngestOptions())
+
+
+def scan_dump_statements(spark, sf):
+    return _scanned(spark, sf, IngestOptions(split="statement"))
+
+
+def _run_dumps(spark, sf, which: int, schema: str) -> DataFrame:
+    texts = []
+    for name, both in pairs.typed_tables(spark, sf).items():
+        if name in ("customer", "supplier"):
+            df = both[which]
+            texts.append(_dump(df, f"{schema}.{name}", pairs.KEYS[name], df.columns))
+    return union_all(texts)
+
+
+def run_direct(spark, sf):
+    """Two folders of dumps in, totals of the indexed comparison out."""
+    folders = {s: _written(spark, _run_dumps(spark, sf, i, s)) for i, s in enumerate(("one", "two"))}
+    options = RunOptions(
+        schemas=("one", "two"), schema_paths=folders, use_direct_comparison=True,
+        run_expectations=False,
+    )
+    return run(spark, options).overall
+
+
+def run_document(spark, sf):
+    """One folder with the dumps of two schemas in, totals out."""
+    texts = _run_dumps(spark, sf, 0, "one").unionByName(_run_dumps(spark, sf, 1, "two"))
+    options = RunOptions(
+        schemas=("one", "two"), data_directory=_written(spark, texts), run_expectations=False
+    )
+    return run(spark, options).overall
+
+
 # --------------------------------------------------------------------------- expectations
 
 
@@ -604,19 +675,40 @@ def embed_rows(spark, sf):
     )
 
 
-def report_catalog(spark, sf):
-    """Two runs written as reports and listed again."""
-    folder = f"{stage_folder(spark)}/reports-{uuid.uuid4()}"
-    store = ReportStore(spark, folder)
+def _reports(spark, sf) -> ReportStore:
+    """Two runs written as reports."""
+    store = ReportStore(spark, f"{stage_folder(spark)}/reports-{uuid.uuid4()}")
     summary = staged(_summary(spark, sf))
-    details = reconcile_rows(*_long_sides(spark, sf, ("supplier",)))
+    details = staged(reconcile_rows(*_long_sides(spark, sf, ("supplier",))))
     for report_id, moment in (
         ("20240101_000000", "2024-01-01T00:00:00"),
         ("20240202_000000", "2024-02-02T00:00:00"),
     ):
         document = overall_document(rollup.overall(summary), "one", "two", moment)
         store.write(report_id, document, summary, details)
-    return store.list_reports()
+    return store
+
+
+def report_catalog(spark, sf):
+    return _reports(spark, sf).list_reports()
+
+
+def report_lookup(spark, sf):
+    found = _reports(spark, sf).get("20240202_000000")
+    return found.select("report_id", "meta.timestamp", "summary.*")
+
+
+def report_documents(spark, sf):
+    """Per table the numbers of detail rows its document holds."""
+    source, destination = _long_sides(spark, sf, ("customer", "supplier"))
+    nested = table_documents(
+        reconcile_rows_summary(source, destination), reconcile_rows(source, destination), 25
+    )
+    counts = [
+        F.size(f"details.{c}").cast("long").alias(c)
+        for c in ("matching_rows", "different_rows", "missing_rows", "extra_rows")
+    ]
+    return nested.select("table", "success", "summary.rows_in_source", *counts)
 
 
 def queries() -> dict[str, Query]:
@@ -631,6 +723,8 @@ def queries() -> dict[str, Query]:
         "recon_first_match_dupkeys_summary": recon_first_match_dupkeys_summary,
         "recon_indexed_hot_key": recon_indexed_hot_key,
         "recon_first_match_hot_key": recon_first_match_hot_key,
+        "recon_empty_side": recon_empty_side,
+        "recon_compat_empty_side": recon_compat_empty_side,
         "missing_rows": missing_rows,
         "extra_rows": extra_rows,
         "extra_rows_first_match": extra_rows_first_match,
@@ -661,9 +755,12 @@ def queries() -> dict[str, Query]:
         "source_only_tables": source_only_tables,
         "destination_only_tables": destination_only_tables,
         "table_status": table_status,
+        "mismatched_tables": mismatched_tables,
         "schema_from_filename": schema_names,
         "first_values": first_values,
         "ingest_rows": ingest_rows,
+        "scan_dump_files": scan_dump_files,
+        "scan_dump_statements": scan_dump_statements,
         "ingest_quoted_text": ingest_quoted_text,
         "ingest_long_text": ingest_long_text,
         "ingest_statement_targets": ingest_statement_targets,
@@ -686,4 +783,8 @@ def queries() -> dict[str, Query]:
         "chunk_append_new": chunk_append_new,
         "embed_rows": embed_rows,
         "report_catalog": report_catalog,
+        "report_lookup": report_lookup,
+        "report_documents": report_documents,
+        "run_direct": run_direct,
+        "run_document": run_document,
     }

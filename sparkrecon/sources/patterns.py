@@ -11,10 +11,15 @@ from sparkrecon.options import IngestOptions
 # Parentheses inside a tuple may nest this deep.
 NESTING = 16
 
+# What a statement, its target and its column list look like, and
+# what a tuple is in a document.
 STATEMENT = r"(?iU)(INSERT\s+INTO[\s\S]+?;)"
-OPEN_STATEMENT = r"(?iU)(INSERT\s+INTO[\s\S]+)"
 TARGET = r"(?iU)INSERT\s+INTO\s+(?:(\w+)\.)?(\w+)"
 COLUMN_LIST = r"(?iU)INSERT\s+INTO\s+[\w\.]+\s*\(([^)]+)\)"
+DOCX_TUPLE = r"\(([^)]+)\)"
+
+# A statement whose semicolon the reader has taken off.
+OPEN_STATEMENT = r"(?iU)(INSERT\s+INTO[\s\S]+)"
 # The values start after the target and its column list ...
 VALUES = r"(?isU)^INSERT\s+INTO\s+[\w\.]+\s*(?:\([^)]+\))?.*?\bVALUES\s*(.*?);?\z"
 # ... or, in the historic reading, at the first such word of the statement.
@@ -23,7 +28,6 @@ FIRST_VALUES = r"(?isU)VALUES\s*(.*?);?\z"
 # Historic: any quote ends a literal that any quote began.
 ANY_QUOTE = r"""(?<=\\)['"]|['"](?:[^'"]++|(?<=\\)['"])*+['"]"""
 
-DOCX_TUPLE = r"\(([^)]+)\)"
 DOCX_ITEM = r"\G,((?:[^',]++|(?<=\\)'|'(?:[^']++|(?<=\\)')*+(?:'|\z))*+)"
 
 # Historic items: a literal, or text that reaches up to a comma or the end.
