@@ -368,27 +368,23 @@ def classified(pair: Pair) -> DataFrame:
 
 
 def _rows_of(df: DataFrame, groups: Sequence[str], kind: str) -> DataFrame:
-    """``(groups, kind, n)`` with the number of rows of a side."""
-    return df.groupBy(*groups).agg(F.count("*").alias("n")).select(
-        *groups, F.lit(kind).alias("kind"), "n"
-    )
+    """``(groups, kind, n)`` to be summed, one row per row of a side."""
+    return df.selectExpr(*groups, f"'{kind}' AS kind", "1L AS n")
 
 
 def _indexed_counts(pair: Pair) -> list[DataFrame]:
-    groups = list(pair.groups)
     return [
-        _classify(part, pair)
-        .groupBy(*groups, F.col("status").alias("kind"))
-        .agg(F.count("*").alias("n"))
+        _classify(part, pair).selectExpr(*pair.groups, "status AS kind", "1L AS n")
         for part in _indexed_parts(pair)
     ]
 
 
 def _first_match_counts(pair: Pair) -> list[DataFrame]:
-    """Each key met takes one destination row; all others are extra. The counts
-    per key need no further shuffle: the join has just placed them by key."""
+    """Each key met takes one destination row; all others are extra, so the extra
+    rows are counted as the destination's rows less the keys met. The counts per
+    key need no further shuffle: the join has just placed them by key."""
     groups, keys = list(pair.groups), list(pair.keys)
-    parts = [_rows_of(pair.destination, groups, "extra")]
+    parts = []
     for part in _first_match_parts(pair):
         per_key = _classify(part, pair).groupBy(*keys).agg(
             F.expr("count_if(status = 'match') AS n_match"),
@@ -432,10 +428,17 @@ def count_pair(
 
     source = ("source",) if source_rows is not None else ("match", "different", "missing")
     destination = ("destination",) if destination_rows is not None else ("match", "different", "extra")
+    classes = {c: (c,) for c in STATUSES}
+    if not indexed:
+        # Rows without a key, which only the long form has, are not extra.
+        keyed = "destination" if not groups else "keyed"
+        classes["extra"] = ("extra", keyed)
+        if groups:
+            parts.append(_rows_of(pair.destination, groups, keyed))
     counts = union_all(parts).groupBy(*groups).agg(
         total(COUNTS[0], *source),
         total(COUNTS[1], *destination),
-        *[total(name, status) for status, name in zip(STATUSES, COUNTS[2:])],
+        *[total(name, *classes[status]) for status, name in zip(STATUSES, COUNTS[2:])],
     )
     if pair.options.compat_empty_side:
         both = "rows_in_source > 0 AND rows_in_destination > 0"

@@ -28,9 +28,13 @@ SALTS = 64
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size the optimizer expects, very large if it does not know."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Size of what a frame reads, very large for inputs of unknown size.
+
+    The inputs are added up, since the estimate of a join multiplies its sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+    )
 
 
 def key_signature(keys: Sequence[str]) -> Column:
