@@ -88,7 +88,7 @@ def join_one(
     keys = list(keys)
     if not hot:
         return [many.join(one, keys, how)]
-    is_hot = key_signature(keys).isin(*hot)
+    is_hot = F.coalesce(key_signature(keys).isin(*hot), F.lit(False))
     cold = many.where(~is_hot).join(one.where(~is_hot), keys, how)
     few = F.broadcast(one.where(is_hot))
     warm = many.where(is_hot).join(few, keys, "left" if how == "full" else how)

@@ -67,6 +67,9 @@ def test_positions_and_ids(spark):
     assert {r["g"]: sorted((x["v"], x["row_id"]) for x in got if x["g"] == r["g"]) for r in got} == {
         g: [(v, i) for i, v in enumerate(v for v in range(1000) if (999 - v) % 2 == g)] for g in (0, 1)
     }
+    ties = chunks.numbered(df, [], ["g"], unique=False).collect()
+    assert sorted(r["row_id"] for r in ties) == list(range(1000))
+    assert all(r["g"] == r["row_id"] // 500 for r in ties)
     made = chunks.to_chunks(spark.createDataFrame([("b", None), ("a", 'q"')], "k string, v string"), "s", "t", ["k"])
     rows = {r["id"]: json.loads(r["content"]) for r in chunks.with_chunk_ids(made).collect()}
     assert rows == {"s_t_0": {"k": "a", "v": 'q"'}, "s_t_1": {"k": "b", "v": None}}
@@ -99,6 +102,9 @@ def test_store_replaces_files_and_keeps_ids(spark, tmp_path):
     assert held() == set(first)
     store.write(store_frame(spark, [("1", "new", "007"), ("3", "taken", "007"), ("4", "again", None), ("5", "e", "")]))
     assert held() == {("1", "new", "007"), ("3", "c", "8"), ("4", "d", None), ("5", "e", None)}
+    # All new ids of a file are taken: nothing is left of it.
+    store.write(store_frame(spark, [("3", "taken", "007")]))
+    assert held() == {("3", "c", "8"), ("4", "d", None), ("5", "e", None)}
     old = store_frame(spark, first)
     new = store_frame(spark, [("1", "new", "007"), ("3", "taken", "007"), ("4", "again", None)])
     merged = {(r["id"], r["content"]) for r in chunks.upsert_chunks(old, new).collect()}
