@@ -25,7 +25,6 @@ from sparkrecon.operators.tables import (
     long_form,
     table_columns,
     tables_by_schema,
-    to_rows,
     to_table,
     with_meta,
     without_meta,
