@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import string
 import tempfile
 import uuid
@@ -11,7 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. A cluster
+    without that folder gets the package by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    places = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in places:
+        known = [root, *filter(None, places)]
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(known)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,7 +51,7 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's input as its files tell it, without a job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def parts_for(df: DataFrame, each: int = 8 << 20, least: int = 1) -> int:

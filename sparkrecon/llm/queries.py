@@ -5,12 +5,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import exact_dedup, sharding, url_filter
+from sparkrecon.llm import (
+    exact_dedup,
+    packing,
+    sharding,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from sparkrecon.llm.common import table
 
+WORD_IDS = public_tokenizers.path("word_bpe_49k.json")
+
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -30,6 +40,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, mined)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents by a machine fitted on rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 4096."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_IDS)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the token files."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_IDS)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index."""
     index = exact_dedup.DigestIndex(spark, f"op7_digests_{uuid.uuid4().hex}")
@@ -47,6 +76,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
+    "op6_packing": op6_packing,
+    "op9_token_files": op9_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_sharding": op10_sharding,
 }
