@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.llm import (
     exact_dedup,
+    fingerprints,
     packing,
     sharding,
     token_files,
@@ -54,6 +55,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_IDS)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the token files."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_IDS)
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_sharding": op10_sharding,
