@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkrecon.llm import (
     exact_dedup,
     fingerprints,
+    jaccard_join,
     packing,
     sharding,
     token_files,
@@ -50,6 +51,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked from a similarity of 0.75."""
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_IDS)
@@ -83,6 +89,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
