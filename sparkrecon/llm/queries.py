@@ -14,6 +14,7 @@ from sparkrecon.llm import (
     fingerprints,
     jaccard_join,
     packing,
+    personal_data,
     sharding,
     token_files,
     toxicity,
@@ -51,6 +52,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, by a model learned on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.report(docs, personal_data.learn(docs))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked from a similarity of 0.75."""
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
@@ -89,6 +96,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
+    "op4_personal_data": op4_personal_data,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
