@@ -1,23 +1,36 @@
 """Byte-level BPE: encoding and decoding with ranks of a public vocabulary.
 
-A text is cut by the vocabulary's pattern; each distinct word is folded once: a
-higher-order ``aggregate`` over its array of byte pieces merges the adjacent
-pair of lowest rank until no pair has one. Ranks are a literal of the plan, a
-map cut into small buckets by CRC so that a look-up reads one or two entries.
+1. Texts are cut by the vocabulary's pattern. The words of some texts form a block;
+   it keeps its texts as codes of its distinct words, and files these words in
+   buckets by hash.
+2. A bucket's distinct words, from all blocks, are folded once each: a higher-order
+   ``aggregate`` over a word's array of bytes merges the adjacent pair of lowest rank
+   until no pair has one. Ranks are a literal of the plan, a map cut into small
+   buckets by CRC so that a look-up reads one or two entries; the vocabulary bounds it.
+3. A bucket gives its words' ids back to the blocks, packed.
+4. A block turns its codes into ids, and ids into text by joining binary pieces.
 
-The vocabulary bounds the literal, so it does not grow with the data."""
+So neither single words of texts nor the corpus' dictionary ever meet in one task,
+and texts do not shuffle as rows of words."""
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrecon.llm.common import parts_for, staged
+
 #: The pattern of the vocabulary with Unicode white space, as Java reads it.
 JAVA_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
@@ -25,6 +38,10 @@ JAVA_PATTERN = (
 )
 #: More than any rank.
 NO_RANK = 2**31 - 1
+#: Words of texts after which a block ends, and the codes' bytes that are kept apart.
+BLOCK_WORDS, PLANES = 4_000_000, 4
+#: Bytes of compressed input for each bucket of words.
+BUCKET_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=4)
@@ -45,11 +62,14 @@ def _buckets(path: str) -> tuple[str, int]:
     return json.dumps(buckets, separators=(",", ":")), count
 
 
-def rank_of(piece: Column, path: str) -> Column:
+def rank_table(path: str) -> Column:
+    """The literal rank map, cut into buckets by CRC of the piece."""
+    return F.from_json(F.lit(_buckets(path)[0]), "array<map<string,int>>")
+
+
+def rank_of(piece: Column, table: Column, buckets: int) -> Column:
     """The rank of a piece of bytes, ``NO_RANK`` if it has none."""
-    text, count = _buckets(path)
-    literal = F.from_json(F.lit(text), "array<map<string,int>>")
-    bucket = F.get(literal, F.pmod(F.crc32(piece), F.lit(count)).cast("int"))
+    bucket = F.get(table, F.pmod(F.crc32(piece), F.lit(buckets)).cast("int"))
     return F.coalesce(F.try_element_at(bucket, F.hex(piece)), F.lit(NO_RANK))
 
 
@@ -72,10 +92,14 @@ def fold_word(word: Column, path: str) -> Column:
     The state is the array of pieces and the array of ranks of adjacent pairs. A
     step merges the leftmost pair of lowest rank and looks up only the two pairs
     that the merge changes."""
+    return let(rank_table(path), lambda table: _fold(word, table, _buckets(path)[1]))
+
+
+def _fold(word: Column, table: Column, buckets: int) -> Column:
     none = F.array().cast("array<int>")
 
     def rank(left: Column, right: Column) -> Column:
-        return rank_of(F.concat(left, right), path)
+        return rank_of(F.concat(left, right), table, buckets)
 
     def start(pieces: Column) -> Column:
         pairs = F.transform(
@@ -127,6 +151,210 @@ def fold_word(word: Column, path: str) -> Column:
             steps,
             start(pieces),
             step,
-            lambda state: F.transform(state["pieces"], lambda piece: rank_of(piece, path)),
+            lambda state: F.transform(state["pieces"], lambda piece: rank_of(piece, table, buckets)),
         ),
     )
+
+
+_BLOCK = (
+    "kind int, block string, bucket int, words array<string>, doc_ids array<long>, "
+    "counts binary, codes binary, places binary"
+)
+_NAMES = ["kind", "block", "bucket", "words", "doc_ids", "counts", "codes", "places"]
+_TYPES = [
+    pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()),
+    *[pa.binary()] * 3,
+]
+#: Kinds of rows of a block.
+TEXTS, WORDS = 0, 1
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes byte by byte, all low bytes first: high bytes of frequent words are 0."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, PLANES).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(
+        pa.decompress(data, PLANES * count, "zstd", asbytes=True), np.uint8
+    ).reshape(PLANES, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
+def _blocks(buckets: int):
+    """Batches of ``(doc_id, words)`` to rows of blocks."""
+
+    def rows_of(block: str, vocabulary: dict[str, int], ids: list, counts: list, codes: list):
+        words = list(vocabulary)
+        codes = np.concatenate([np.empty(0, np.int64), *codes])
+        # Frequent words get small codes; a place is a word's rank by bucket.
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        code = np.empty(len(words), np.int64)
+        code[often] = np.arange(len(words))
+        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        places = np.empty(len(words), "<u4")
+        places[code[by_bucket]] = np.arange(len(words))
+        rows = [
+            (
+                TEXTS, block, None, None, ids, np.concatenate([np.empty(0, "<i4"), *counts]).astype("<i4").tobytes(),
+                _packed(code[codes]), places.tobytes(),
+            )
+        ]
+        cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+        for part in np.split(by_bucket, cuts) if len(words) else []:
+            own = [words[i] for i in part]
+            rows.append((WORDS, block, int(bucket[part[0]]), own, None, None, None, None))
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        vocabulary: dict[str, int] = {}
+        ids, counts, codes, size = [], [], [], 0
+        for batch in batches:
+            # Few documents at a time, so a block ends soon after it is full.
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                lists = part.column("words")
+                flat = lists.flatten().dictionary_encode()
+                known = np.array(
+                    [vocabulary.setdefault(w, len(vocabulary)) for w in flat.dictionary.to_pylist()], np.int64
+                )
+                codes.append(known[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64))
+                counts.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                ids += part.column("doc_id").to_pylist()
+                size += len(flat)
+                if size >= BLOCK_WORDS:
+                    yield rows_of(f"{task}-{number}", vocabulary, ids, counts, codes)
+                    number += 1
+                    vocabulary, ids, counts, codes, size = {}, [], [], [], 0
+        if ids:
+            yield rows_of(f"{task}-{number}", vocabulary, ids, counts, codes)
+
+    return run
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """A bucket's rows to its distinct words."""
+    words = pc.unique(table.column("words").combine_chunks().flatten())
+    bucket = pa.array([table.column("bucket")[0].as_py()] * len(words), pa.int32())
+    return pa.Table.from_arrays([bucket, words], names=["bucket", "word"])
+
+
+def _given_back(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The ids of each block's words of a bucket, in the order of its list."""
+    if not asked.num_rows:
+        return pa.table({"block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()),
+                         "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    words = known.column("word").combine_chunks()
+    lists = known.column("ids").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, starts = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
+    rows: list[list] = [[], [], [], []]
+    for row in range(asked.num_rows):
+        at = pc.index_in(asked.column("words")[row].values, words).to_numpy()
+        rows[0].append(asked.column("block")[row].as_py())
+        rows[1].append(asked.column("bucket")[row].as_py())
+        rows[2].append(sizes[at].astype("<u4").tobytes())
+        rows[3].append(_gathered(ids, starts[at], sizes[at]).astype("<u4").tobytes())
+    return pa.table(
+        {
+            "block": pa.array(rows[0], pa.string()), "bucket": pa.array(rows[1], pa.int32()),
+            "sizes": pa.array(rows[2], pa.binary()), "ids": pa.array(rows[3], pa.binary()),
+        }
+    )
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start : start + size]`` of all, one after the other."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    return values[at]
+
+
+class Decoder:
+    """Ids to bytes, by joining the binary pieces of the vocabulary."""
+
+    def __init__(self, table: dict[bytes, int]):
+        pieces = [b""] * (max(table.values(), default=-1) + 1)
+        for piece, rank in table.items():
+            pieces[rank] = piece
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return _gathered(self.data, self.starts[ids], self.sizes[ids]).tobytes()
+
+
+_CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _assembled(path: str):
+    table = ranks(path)
+
+    def run(texts: pa.Table, given: pa.Table) -> pa.Table:
+        decoder = Decoder(table)
+        found: list[list] = [[], [], [], []]
+        for row in texts.to_pylist():
+            order = np.argsort(given.column("bucket").to_numpy(), kind="stable")
+            parts = [given.column("ids")[int(i)].as_py() for i in order]
+            sizes = b"".join(given.column("sizes")[int(i)].as_py() for i in order)
+            # By place, that is by bucket; then by code.
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+            places = np.frombuffer(row["places"], "<u4")
+            starts, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
+            counts = np.frombuffer(row["counts"], "<i4")
+            codes = _unpacked(row["codes"], int(counts.sum()))
+            first = 0
+            for doc_id, count in zip(row["doc_ids"], counts, strict=True):
+                own = codes[first : first + count]
+                first += count
+                tokens = _gathered(ids, starts[own], sizes[own])
+                found[0].append(doc_id)
+                found[1].append(len(tokens))
+                found[2].append(hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest())
+                found[3].append(hashlib.sha256(decoder.decode(tokens)).hexdigest())
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [field.split()[0] for field in _CODED.split(", ")]
+        return pa.Table.from_arrays(
+            [pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=names
+        )
+
+    return run
+
+
+def encode_digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row: the digests of its
+    ids as little-endian unsigned 32-bit integers and of the bytes they decode to.
+
+    A null or empty text has no ids. Repeated rows give a row each, an empty table
+    none. A very long word costs time by its length times its merges."""
+    words = F.regexp_extract_all(
+        F.coalesce(F.col(text_col), F.lit("")), F.lit(JAVA_PATTERN), F.lit(0)
+    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    buckets = parts_for(docs, BUCKET_BYTES)
+    blocks = staged(rows.mapInArrow(_blocks(buckets), _BLOCK), partition_by="kind")
+    asked = blocks.where(F.col("kind") == WORDS).select("bucket", "block", "words")
+    distinct = asked.select("bucket", "words").groupBy("bucket").applyInArrow(
+        _distinct, "bucket int, word string"
+    )
+    known = staged(distinct.select("bucket", "word", fold_word(F.col("word"), path).alias("ids")))
+    given = (
+        asked.groupBy("bucket").cogroup(known.groupBy("bucket"))
+        .applyInArrow(_given_back, "block string, bucket int, sizes binary, ids binary")
+    )
+    texts = blocks.where(F.col("kind") == TEXTS).select(
+        "block", "doc_ids", "counts", "codes", "places"
+    )
+    return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(
+        _assembled(path), _CODED
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecon.llm import (
+    byte_bpe,
     exact_dedup,
     fingerprints,
     jaccard_join,
@@ -22,6 +23,7 @@ from sparkrecon.llm import (
 )
 from sparkrecon.llm.common import table
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_IDS = public_tokenizers.path("word_bpe_49k.json")
 
 RULES = (
@@ -33,6 +35,11 @@ RULES = (
 )
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents."""
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge all pages. Labels: a page whose number is a document that ``labels``
     calls toxic or of low quality is one to block, any other labelled one is not."""
@@ -94,6 +101,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
