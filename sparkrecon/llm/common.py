@@ -69,6 +69,31 @@ def lower_ascii(text: Column) -> Column:
     return text
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def semi_join_rows(docs: DataFrame, id_col: str, mark: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all columns, for each ``(doc_id, mark)`` row of ``kept``:
+    ids match null-safely, marks by value. Repeated rows of one id and mark meet in
+    the task that joins them, so they need no further shuffle."""
+    null_id = F.lit(-(2**63))
+    id_name, mark_name = free_name(docs, "join_id"), free_name(docs, "join_mark")
+    left = docs.withColumns(
+        {id_name: F.coalesce(F.col(id_col).cast("long"), null_id), mark_name: mark}
+    )
+    right = kept.select(
+        F.coalesce(F.col("doc_id").cast("long"), null_id).alias(id_name),
+        F.col("mark").alias(mark_name),
+    )
+    joined = left.join(right, [id_name, mark_name], "left_semi")
+    return joined.dropDuplicates([id_name, mark_name]).select(docs.columns)
+
+
 def id_ranges(df: DataFrame, id_col: str, parts: int) -> list:
     """Ascending inner bounds that cut the ids into about equal ranges; a null id
     belongs to the first range. Cuts only place rows, so quantiles may be rough."""

@@ -7,11 +7,11 @@ are appended. DataFrame operations throughout."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparkrecon.llm.common import lower_ascii, staged
+from sparkrecon.llm.common import lower_ascii, semi_join_rows, staged
 
 #: A digest is hot if it holds a thousandth of a batch, so at most so many are.
 HOT_DIGESTS = 1000
@@ -20,10 +20,12 @@ HOT_DIGESTS = 1000
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, digest)`` of each row: SHA-256 of the text in UTF-8 with A-Z in
     lower case. A null text counts as empty."""
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("digest")
-    )
+    return docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
+
+
+def digest_of(text: Column) -> Column:
+    text = lower_ascii(F.coalesce(text, F.lit("")))
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
 class DigestIndex:
@@ -98,3 +100,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def distinct_rows(
+    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows that stay, with all their columns: one per text the index did not have."""
+    marked = index.add(staged(digests(docs, id_col, text_col)))
+    kept = marked.where("kept").select("doc_id", F.col("digest").alias("mark")).distinct()
+    return semi_join_rows(docs, id_col, digest_of(F.col(text_col)), kept)

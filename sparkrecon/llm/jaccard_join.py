@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm.common import parts_for, staged
+from sparkrecon.llm.common import parts_for, semi_join_rows, staged
 from sparkrecon.llm.components import components
 from sparkrecon.llm.shingles import CHUNK, shingles
 
@@ -317,6 +317,21 @@ def join_components(
     nothing: their component is their own id. Equal texts with words are linked, and
     so are repeated rows. A null id takes part but never names a component of
     others."""
+    return _classed(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The row of the smallest id of each component, with all its columns. Repeated rows
+    give one; a component without any id keeps a row per text."""
+    classed = _classed(docs, id_col, text_col)
+    first = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    kept = classed.where(first).select("doc_id", F.col("node").alias("mark")).distinct()
+    return semi_join_rows(docs, id_col, node_of(F.col(text_col)), kept)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), node_of(text).alias("node"))
     texts = (
@@ -342,6 +357,7 @@ def join_components(
     known = staged(sized.join(named, "component").select("node", "n", "component_id"))
     return rows.join(known, "node", "left").select(
         "doc_id",
+        "node",
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"),
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkrecon.llm.common import free_name
 
 #: Most labelled texts that are fitted, and the least of them that hold a term.
 SAMPLE_TEXTS, LEAST_TEXTS = 12_000, 3
@@ -168,11 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> Fac
     return fit(texts, np.array([float(r.toxic > 0) for r in rows]))
 
 
-def score(
-    docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text"
+def with_score(
+    docs: DataFrame, model: FactorizationMachine, text_col: str = "text", into: str = "score"
 ) -> DataFrame:
-    """``(doc_id, score, predicted)`` of each row. A null or empty text has no terms,
-    its score follows from the bias. Repeated rows are scored alike."""
+    """``docs`` with the column ``into``. A null or empty text has no terms, its score
+    follows from the bias. Repeated rows are scored alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +184,9 @@ def score(
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(text_col):
                 rows: set[int] = set()
-                for word in words_of(text):
+                for word in words_of(text.as_py()):
                     at = cache.get(word)
                     if at is None:
                         at = tuple(place[t] for t in terms_of(word) if t in place)
@@ -193,10 +196,24 @@ def score(
                     rows.update(at)
                 scores.append(own.score(np.fromiter(sorted(rows), np.int64, len(rows))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"]
+                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, into]
             )
 
-    kind = dict(docs.dtypes)[id_col]
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
+    return docs.mapInArrow(scored, schema)
+
+
+def score(
+    docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, score, predicted)`` of each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(scored, f"doc_id {kind}, score double")
-    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_score(rows, model).select(
+        "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic."""
+    into = free_name(docs, "toxic_score")
+    return with_score(docs, model, text_col, into).where(F.col(into) < 0.5).drop(into)
