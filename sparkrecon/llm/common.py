@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row of an input that does not know its size.
+ROW_BYTES = 1000
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. A cluster
@@ -50,10 +53,13 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's inputs as their files tell it, without a job. (The plan's own
-    estimate shrinks with each column left out, whatever the column holds.)"""
+    estimate shrinks with each column left out, whatever the column holds.) Inputs
+    that don't know their size, as rows of the driver, are counted instead."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-    return sum(int(str(size)) for size in sizes)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) >= 1 << 60:
+        return df.count() * ROW_BYTES
+    return sum(sizes)
 
 
 def parts_for(df: DataFrame, each: int = 8 << 20, least: int = 1) -> int:

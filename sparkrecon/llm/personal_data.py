@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.llm.common import free_name, staged
+from sparkrecon.llm.common import staged
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "secret", "spelled_email")
@@ -328,11 +328,11 @@ def masked(text: Column, spans: Column) -> Column:
 def without_personal_data(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in their texts masked, and ``n_chars``, if there, counted
     anew. A null text stays null."""
-    spans = free_name(docs, "found_spans")
-    found = with_spans(docs, model, text_col, spans)
-    columns = {text_col: masked(F.col(text_col), F.col(spans))}
-    found = found.withColumns(columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = with_spans(rows, model).withColumn("text", masked(F.col("text"), F.col("spans")))
+    new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        found = found.withColumn("n_chars", F.length(text_col).cast(kind))
-    return found.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(
+        *[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    )
