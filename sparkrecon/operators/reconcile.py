@@ -513,6 +513,9 @@ def reconcile(
     """Detail rows ``(status, key, source_row, destination_row, differences)``
     of one typed table; the key defaults to the first source column. ``limit``
     keeps the first rows of each class only."""
+    if options.compat_empty_side and (src.isEmpty() or dst.isEmpty()):
+        # Left unclassified, as the counts have it.
+        src, dst = src.where("false"), dst.where("false")
     pair = typed_pair(src, dst, key, order_by, options)
     return pair.present(capped(classified(pair), pair, limit))
 

@@ -19,11 +19,10 @@ from sparkrecon.options import ReconOptions
 
 HOT_LIMIT = 64
 SKETCH_ITEMS = 10_000
-# A key is hot if it holds at least this share of the rows of its side.
-HOT_SHARE = 0.002
-# Metadata of tables (names, column lists, chosen keys) is broadcast up to this
-# many rows; beyond it the look-up is salted.
+# Metadata of tables (names, column lists, chosen keys) is broadcast up to so
+# many rows and bytes; beyond either the look-up is salted.
 LOOKUP_LIMIT = 50_000
+LOOKUP_BYTES = 16 << 20
 SALTS = 64
 
 
@@ -48,7 +47,7 @@ def key_signature(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list[str]:
-    """Signatures of the keys that hold an outsized share of ``df``.
+    """Signatures of the keys with at least ``min_rows`` rows of ``df``, most first.
 
     One pass over the key columns with a bounded sketch and no shuffle of rows;
     the driver receives at most ``HOT_LIMIT`` texts. Only keys that do occur are
@@ -61,8 +60,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> list[str]:
     row = top.first()
     if row is None or not row["n"]:
         return []
-    floor = max(min_rows, int(row["n"] * HOT_SHARE))
-    return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= floor]
+    return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= min_rows]
 
 
 def find_hot(df: DataFrame, keys: Sequence[str], options: ReconOptions) -> list[str]:
@@ -84,15 +82,22 @@ def join_one(
     """Join ``many`` with ``one`` (unique on ``keys``); the parts form the result.
 
     ``how`` is ``inner``, ``left`` or ``full``, seen from ``many``. Every hot key
-    occurs in ``many``, so its part needs no unmatched rows of ``one``."""
+    occurs in ``many``, so its part needs no unmatched rows of ``one``. If the list
+    of hot keys is full there may be more of them: the other rows then take joins
+    whose skewed tasks Spark can split, which a full outer join does not allow."""
     keys = list(keys)
     if not hot:
         return [many.join(one, keys, how)]
     is_hot = F.coalesce(key_signature(keys).isin(*hot), F.lit(False))
-    cold = many.where(~is_hot).join(one.where(~is_hot), keys, how)
     few = F.broadcast(one.where(is_hot))
     warm = many.where(is_hot).join(few, keys, "left" if how == "full" else how)
-    return [cold, warm]
+    rest, others = many.where(~is_hot), one.where(~is_hot)
+    if how != "full" or len(hot) < HOT_LIMIT:
+        return [rest.join(others, keys, how), warm]
+    unmatched = others.join(rest.select(*keys).distinct(), keys, "left_anti")
+    own = [F.lit(None).cast(f.dataType).alias(f.name) for f in many.schema if f.name not in keys]
+    theirs = [c for c in one.columns if c not in keys]
+    return [rest.join(others, keys, "left"), unmatched.select(*keys, *own, *theirs), warm]
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -102,9 +107,12 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def small_table(df: DataFrame) -> DataFrame:
     """A metadata table computed once, if it is small; else the frame itself.
 
-    Up to ``LOOKUP_LIMIT`` rows are fetched and kept as a local relation."""
-    rows = df.limit(LOOKUP_LIMIT + 1).collect()
-    if len(rows) > LOOKUP_LIMIT:
+    Up to ``LOOKUP_LIMIT`` rows are fetched and, if they take ``LOOKUP_BYTES`` at
+    most, kept as a local relation."""
+    if _is_local(df):
+        return df
+    rows = df.limit(LOOKUP_LIMIT + 1).toArrow()
+    if rows.num_rows > LOOKUP_LIMIT or rows.nbytes > LOOKUP_BYTES:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 
@@ -124,10 +132,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join with a metadata table that is unique on ``on`` and usually small.
 
-    Up to ``LOOKUP_LIMIT`` rows it is shipped to the tasks, so ``big`` does not
-    shuffle. Beyond that both sides are salted, so a value of ``on`` that owns a
+    If :func:`small_table` holds it, it is shipped to the tasks, so ``big`` does not
+    shuffle. Else both sides are salted, so a value of ``on`` that owns a
     third of ``big`` still spreads over many tasks."""
-    held = small if _is_local(small) else small_table(small)
+    held = small_table(small)
     if _is_local(held):
         return big.join(F.broadcast(held), list(on), how)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
@@ -139,13 +147,14 @@ def lookup_join(
 def repeat_rows(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     """Each row ``times`` times, for counts of any size.
 
-    The copies are cut into blocks that are spread over the tasks before they
-    are written out, so a row with billions of copies is not one task's work."""
+    The copies are cut into blocks that are dealt evenly over the tasks before
+    they are written out, so neither a row with billions of copies nor many rows
+    with few are one task's work."""
     blocks = df.where(F.col(times) > 0).withColumn(
         "_block",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / block))),
     )
-    spread = blocks.repartition("_block")
+    spread = blocks.hint("rebalance")
     left = F.least(F.lit(block).cast("long"), F.col(times) - F.col("_block") * block)
     return spread.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))

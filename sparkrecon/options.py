@@ -15,9 +15,18 @@ ENTITY_FIELDS = ("employee_id", "contractor_id")
 # File endings that hold dumps.
 DUMP_EXTENSIONS = ("docx", "sql", "txt")
 
-# Fixed value: at most this many detail rows per table and class are reported.
+# Fixed value: at most this many detail rows per table and class stand in the
+# nested document of a table, which says whether it was cut. Details written row
+# by row are never cut.
 DETAIL_CAP = 100
 
+# Keys of configuration files that belong to parts that are not
+# built (see the README) or that Spark decides itself.
+FOREIGN_KEYS = (
+    "batch_size", "chromadb_path", "chunk_overlap", "chunk_size", "dest-schema",
+    "embedding_model", "ge_dir", "source-schema",
+)
+
 
 @dataclass(frozen=True)
 class ReconOptions:
@@ -103,7 +112,10 @@ class IngestOptions:
 
 @dataclass(frozen=True)
 class RunOptions:
-    """A whole validation run over two schemas of dump files."""
+    """A whole validation run over two schemas of dump files.
+
+    ``max_differences`` cuts the listing of a result, per table and class; details
+    are whole in any case. ``document_rows`` cuts the nested documents of tables."""
 
     schemas: tuple[str, ...] = ()
     data_directory: str = ""
@@ -111,7 +123,8 @@ class RunOptions:
     source_files: tuple[str, ...] = ()
     dest_files: tuple[str, ...] = ()
     use_direct_comparison: bool = False
-    max_differences: int = DETAIL_CAP
+    max_differences: int | None = None
+    document_rows: int = DETAIL_CAP
     run_expectations: bool = True
     report_directory: str | None = None
     chunk_store: str | None = None
@@ -120,10 +133,16 @@ class RunOptions:
 
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> RunOptions:
-        known = {f.name for f in fields(cls)}
-        picked = {k: v for k, v in raw.items() if k in known}
+        """Options from plain values; ``recon`` and ``ingest`` may be dicts as well.
+        Unknown names are an error, those of ``FOREIGN_KEYS`` are passed over."""
+        picked = _known(cls, {k: v for k, v in raw.items() if k not in FOREIGN_KEYS})
         for name in ("schemas", "source_files", "dest_files"):
             picked[name] = tuple(picked.get(name) or ())
+        for name, kind in (("recon", ReconOptions), ("ingest", IngestOptions)):
+            if isinstance(picked.get(name), dict):
+                inner = _known(kind, picked[name])
+                listed = {k: tuple(v) for k, v in inner.items() if isinstance(v, list)}
+                picked[name] = kind(**inner | listed)
         return cls(**picked)
 
     @classmethod
@@ -145,12 +164,15 @@ class RunOptions:
             return self.schema_paths[schema]
         return f"{self.data_directory.rstrip('/')}/{schema}"
 
-    @property
-    def detail_cap(self) -> int:
-        return min(DETAIL_CAP, self.max_differences)
-
     @property
     def recon_options(self) -> ReconOptions:
         if self.recon is not None:
             return self.recon
         return ReconOptions(mode=INDEXED if self.use_direct_comparison else FIRST_MATCH)
+
+
+def _known(kind: type, raw: dict[str, Any]) -> dict[str, Any]:
+    unknown = sorted(set(raw) - {f.name for f in fields(kind)})
+    if unknown:
+        raise ValueError(f"unknown options of {kind.__name__}: {', '.join(unknown)}")
+    return dict(raw)

@@ -221,3 +221,59 @@ def test_caps_over_many_pieces(spark):
 def test_staged_keeps_rows_and_types(spark):
     df = spark.createDataFrame([({"a": None}, [1], None)], "m map<string,string>, a array<int>, x string")
     assert staged(df).collect() == df.collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_lookups_are_broadcast(spark):
+    """Also without Spark's own broadcasts; larger tables are salted."""
+    from pyspark.sql import functions as F
+
+    from sparkrecon.operators import skew
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(1000).withColumn("t", F.col("id") % 3)
+        small = spark.range(3).select(F.col("id").alias("t"), F.create_map(F.lit("a"), "id").alias("m"))
+        joined = skew.lookup_join(big, small, ["t"], "inner", ["id"])
+        assert "BroadcastHashJoin" in _plan(joined) and "Exchange hashpartitioning" not in _plan(joined)
+        assert joined.count() == 1000 and skew._is_local(skew.small_table(small.where("false")))
+        held, skew.LOOKUP_BYTES = skew.LOOKUP_BYTES, 10
+        try:
+            salted = skew.lookup_join(big, small, ["t"], "inner", ["id"])
+            assert "SortMergeJoin" in _plan(salted) and salted.count() == 1000
+        finally:
+            skew.LOOKUP_BYTES = held
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from sparkrecon.operators.skew import repeat_rows
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(2000).withColumn("n", F.lit(3).cast("long"))
+        copies = repeat_rows(rows, "n")
+        placed = copies.withColumn("p", F.spark_partition_id())
+        counts = [r["count"] for r in placed.groupBy("p").count().collect()]
+        assert sum(counts) == 6000 and max(counts) < 3000
+        assert copies.groupBy("id").count().where("count = 3").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_full_list_of_hot_keys_splits_the_rest(spark, monkeypatch):
+    from sparkrecon.operators import skew
+
+    many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (4, "d"), (None, "e")], "k int, m string")
+    one = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "w")], "k int, o string")
+    want = sorted(map(str, many.join(one, ["k"], "full").collect()))
+    for limit in (64, 1):
+        monkeypatch.setattr(skew, "HOT_LIMIT", limit)
+        got = skew.union_all(skew.join_one(many, one, ["k"], "full", ["1"]))
+        assert sorted(map(str, got.collect())) == want

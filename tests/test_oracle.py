@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sparkrecon.plans import registry
 from tools.check_oracle import _rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def test_sql_belongs_to_queries():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, tables, name):
     df = entry.queries()[name](spark, SF_DIR)
     got = _rows(df.columns, df.collect())

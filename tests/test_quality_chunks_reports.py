@@ -186,8 +186,11 @@ def test_direct_run(spark, tmp_path):
     )
     result = run(spark, options)
     assert totals(result) == (50, 250, 250, 2, 238, 10, 10)
-    counts = Counter(r["status"] for r in result.details.where("table = 'table_49'").collect())
+    counts = Counter(r["status"] for r in result.listing.where("table = 'table_49'").collect())
     assert counts == {"missing": 3, "extra": 3}
+    whole = Counter(r["status"] for r in result.details.collect())
+    assert whole["missing"] == 10 and whole["different"] == 238
+    assert result.rejects.count() == 0 and result.unreadable.count() == 0
     two = result.summary.where("table = 'table_2'").first()
     assert (two["different_rows"], two["extra_rows"]) == (5, 0)
 
@@ -201,6 +204,40 @@ def test_yaml_options_and_paths(tmp_path):
     assert options.recon_options == ReconOptions(mode="first_match")
 
 
+def test_nested_options():
+    import pytest
+
+    options = RunOptions.from_dict(
+        {"recon": {"mode": "indexed", "exclude_fields": ["a"]}, "ingest": {"recursive": True}}
+    )
+    assert options.recon == ReconOptions(exclude_fields=("a",)) and options.ingest.recursive
+    for wrong in ({"schema": []}, {"recon": {"modus": "x"}}, {"ingest": {"deep": 1}}):
+        with pytest.raises(ValueError, match="unknown options"):
+            RunOptions.from_dict(wrong)
+
+
+def test_details_are_whole_and_rejects_reported(spark, tmp_path):
+    """300 differing rows stay 300, whatever the listing and the documents hold."""
+    one, two = tmp_path / "one.sql", tmp_path / "two.sql"
+    rows = [f"INSERT INTO t (asset_id, v) VALUES ({i}, 'a');" for i in range(300)]
+    one.write_text("\n".join([*rows, "INSERT INTO t (asset_id, v) VALUES (1, 2, 3);"]))
+    two.write_text("\n".join(rows).replace("'a'", "'b'"))
+    other = tmp_path / "three.pdf"
+    other.write_text("x")
+    options = RunOptions(
+        schemas=("one", "two"), use_direct_comparison=True, source_files=(str(one), str(other)),
+        dest_files=(str(two),), run_expectations=False, max_differences=1000, document_rows=7,
+        report_directory=str(tmp_path / "r"),
+    )
+    result = run(spark, options)
+    store = ReportStore(spark, str(tmp_path / "r"))
+    assert store.details(result.report_id).count() == result.listing.count() == 300
+    document = spark.read.json(f"{tmp_path}/r/documents/report_id={result.report_id}").first()
+    assert document["truncated"] and len(document["details"]["different_rows"]) == 7
+    assert [r["reason"] for r in result.rejects.collect()] == ["arity_mismatch"]
+    assert [r["path"] for r in result.unreadable.collect()] == [str(other)]
+
+
 def test_key_missing_on_destination_is_an_error(spark, tmp_path):
     import pytest
 
