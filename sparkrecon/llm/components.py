@@ -14,11 +14,14 @@ from sparkrecon.llm.common import staged
 #: Pairs of steps after which something must be wrong (a path of n nodes needs about
 #: log n).
 MOST_STEPS = 60
+#: Links up to which a step runs in one task without shuffles, at 16 bytes each.
+SMALL_LINKS = 1_000_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the least of its neighbours and itself."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.inline(ways))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return (
         both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -30,28 +33,29 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return (
-        joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .unionByName(least.select("a", F.col("m").alias("b")))
-        .where("a != b").distinct()
-    )
+    ends = F.array(
+        F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))
+    )
+    return down.join(least, "a").select(F.inline(ends)).where("a != b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``: the least node it
     is linked with over any path. Empty links give no rows."""
     links = staged(links.where("a != b").select("a", "b").distinct())
-    before = None
+    small, before = links.count() <= SMALL_LINKS, None
     for _ in range(MOST_STEPS):
+        # One partition needs no shuffle for any of a step's groups and joins.
+        links = links.coalesce(1) if small else links
         links = staged(_small_star(_large_star(links)))
         state = links.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
         if state == before:
-            ends = links.select(F.col("b").alias("node")).distinct()
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                ends.select("node", F.col("node").alias("component"))
+            ends = F.array(
+                F.struct(F.col("a").alias("node"), F.col("b").alias("component")),
+                F.struct(F.col("b").alias("node"), F.col("b").alias("component")),
             )
+            return staged(links.select(F.inline(ends)).distinct())
         before = state
     raise RuntimeError("components did not settle")

@@ -36,7 +36,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 COUNT_BYTES = 6 << 20
 #: Rounds with pivots at most, and pairs per indexed set that the full join may take
 #: over from them.
-PIVOT_ROUNDS, LEFT_PAIRS = 6, 20
+PIVOT_ROUNDS, LEFT_PAIRS = 4, 20
 #: Bits of a shingle's hash within its range.
 LOW_BITS = 40
 

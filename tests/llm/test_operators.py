@@ -275,7 +275,9 @@ def test_jaccard_join(spark, edge, none, monkeypatch, rounds):
     assert kept.columns == edge.columns and ids == [1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("sparkrecon.llm.components.SMALL_LINKS", small)
     links = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (60, 50), (70, 70)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40}
