@@ -70,8 +70,8 @@ class IngestOptions:
     ``split``
         ``file`` reads each file as one record, ``statement`` splits text files
         at ``;`` while reading, so that one large file feeds many tasks, and
-        ``auto`` does so for files of more than ``whole_file_bytes``. A split
-        file may end in a statement without ``;``, which then counts as well.
+        ``auto`` does so for files of more than ``whole_file_bytes``. Both give
+        the same statements; one without ``;`` at the end does not count.
     ``quote_aware``
         ``True`` keeps a ``;`` inside a literal (whole files only).
     ``backslash_escapes``

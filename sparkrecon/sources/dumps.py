@@ -9,6 +9,7 @@ rows have in their files.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrecon.functions.text import file_extension, file_stem, strip_text
+from sparkrecon.operators.skew import lookup_join
 from sparkrecon.options import DUMP_EXTENSIONS, IngestOptions
 from sparkrecon.sources import patterns as P
 
@@ -79,17 +81,40 @@ def _whole_statements(files: DataFrame, pattern: str, dialect: str) -> DataFrame
 
 def _split_statements(reader, paths: Sequence[str]) -> DataFrame:
     """Pieces between semicolons. Large files are cut into blocks, one or more
-    tasks each; block start and position within the task give the order."""
+    tasks each; block start and position within the task give the order.
+
+    A first pass over the pieces finds, per file, what a reader of the whole file
+    sees at once: whether all of it is UTF-8, and whether it ends in a statement
+    without semicolon (then one more byte was counted than the file has), which
+    does not count."""
+    name = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     pieces = reader.option("lineSep", ";").load(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
+        F.coalesce(F.try_url_decode(name), F.col("_metadata.file_path")).alias("path"),
         F.lit("text").alias("dialect"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("stmt"),
-        _decoded(F.col("value").cast("binary")).alias("value"),
+        F.col("_metadata.file_size").alias("size"),
+        "value",
+    )
+    files = pieces.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        (F.sum(F.octet_length("value") + 1) > F.max("size")).alias("open"),
+        F.max(F.struct("block", "stmt")).alias("last"),
+    )
+    known = lookup_join(pieces, files, ["path"], "inner", ["stmt"])
+    tail = F.col("open") & (F.struct("block", "stmt") == F.col("last"))
+    data = F.col("value").cast("binary")
+    text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(data, "ISO-8859-1"))
+    found = F.regexp_extract(F.regexp_replace(text, "\r\n?", "\n"), P.OPEN_STATEMENT, 1)
+    statements = known.where(~tail).select(
+        "path", "dialect", "block", "stmt", F.concat(found, F.lit(";")).alias("statement")
     )
-    found = F.regexp_extract("value", P.OPEN_STATEMENT, 1)
-    statements = pieces.withColumn("statement", F.concat(found, F.lit(";")))
-    return statements.where(F.length("statement") > 1).drop("value")
+    return statements.where(F.length("statement") > 1)
+
+
+def _plain_path(path: str) -> str:
+    """A path whose signs are not read as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def _statements(
@@ -111,7 +136,8 @@ def _statements(
             if large and options.quote_aware:
                 raise ValueError(f"too large to read as a whole for quote_aware: {large[0]}")
             if large:
-                parts.append(_split_statements(_reader(spark, options, "text", None), large))
+                paths = [_plain_path(path) for path in large]
+                parts.append(_split_statements(_reader(spark, options, "text", None), paths))
                 files = files.where(small)
         files = files.select("path", _decoded(F.col("content")).alias("content"))
         parts.append(_whole_statements(files, P.statement_pattern(options), "text"))
@@ -285,11 +311,17 @@ def parse_statements(
         F.length(stmt) > RAW_LENGTH, F.concat(F.left(stmt, F.lit(RAW_LENGTH)), F.lit("..."))
     ).otherwise(stmt)
 
+    values = F.regexp_extract(stmt, section, 1)
+    deep = F.lit(False)
+    if options.mixed_quotes:
+        deep = (dialect != "docx") & values.rlike(P.too_deep_pattern(options))
+
     heads = statements.select(
         F.coalesce(F.nullif(schema, F.lit("")), file_stem(F.col("path"))).alias("schema"),
         F.nullif(table, F.lit("")).alias("table"),
         F.when(listed != "", names).alias("listed"),
-        _tuples(F.regexp_extract(stmt, section, 1), dialect, options).alias("tuples"),
+        F.when(~deep, _tuples(values, dialect, options)).alias("tuples"),
+        deep.alias("deep"),
         F.when(dialect == "docx", stmt).otherwise(short).alias("raw_statement"),
         "path",
         "block",
@@ -309,6 +341,7 @@ def parse_statements(
         "table",
         "columns",
         F.posexplode_outer("tuples").alias("tuple", "values"),
+        "deep",
         "raw_statement",
         "path",
         "block",
@@ -316,6 +349,7 @@ def parse_statements(
     )
     reason = (
         F.when(F.col("table").isNull(), "no_target")
+        .when(F.col("deep"), "nested_too_deep")
         .when(F.col("values").isNull(), "no_values")
         .when(F.col("columns").isNull() | (F.size("values") != F.size("columns")), "arity_mismatch")
     )

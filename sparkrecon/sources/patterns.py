@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from sparkrecon.options import IngestOptions
 
-# Parentheses inside a tuple may nest this deep.
-NESTING = 16
+# Parentheses inside a tuple may nest this deep; deeper ones are rejected.
+NESTING = 64
 
 # What a statement, its target and its column list look like, and
 # what a tuple is in a document.
@@ -66,6 +66,16 @@ def tuple_pattern(options: IngestOptions) -> str:
     return _tuple(literal_pattern(options), NESTING)
 
 
+def too_deep_pattern(options: IngestOptions) -> str:
+    """From the start, over whatever reads well: a parenthesis inside another that no
+    pattern of ``NESTING`` levels closes."""
+    literal = literal_pattern(options)
+    inner = _tuple(literal, NESTING - 1)
+    outer = rf"""\((?:[^()'"]++|{literal}|{inner})*+\)"""
+    passed = rf"""\A(?:[^()'"]++|{literal}|{outer}|['"])*+"""
+    return rf"""{passed}\((?:[^()'"]++|{literal}|{inner})*+\("""
+
+
 def item_pattern(options: IngestOptions) -> str:
     """One item of a tuple whose text starts with an added comma."""
     literal = literal_pattern(options)

@@ -7,7 +7,9 @@ from sparkrecon.options import IngestOptions
 from sparkrecon.sources.dumps import (
     ingest_directory,
     ingest_files,
+    parse_statements,
     rejected_files,
+    statements_of_text,
     unreadable_documents,
 )
 
@@ -97,3 +99,37 @@ def test_docx_dialect(spark, tmp_path):
     got = [tuple(r["values"]) for r in ingest_directory(spark, str(tmp_path)).orderBy("ord").collect()]
     # Doubled quotes stay, an empty item stays, a trailing empty item does not count.
     assert got == [("1", r"it\'s", "a,b", "NULL"), ("two''s", "", None, "z")]
+
+
+def test_whole_and_split_readers_agree(spark, tmp_path):
+    """Tails without semicolon, blanks and signs in names, one byte that is not UTF-8."""
+    one = "INSERT INTO t (a) VALUES ('é');\nINSERT INTO t (a) VALUES (2)"
+    (tmp_path / "my dump+1.sql").write_bytes(one.encode() + b";\n")
+    (tmp_path / "x[1].sql").write_bytes(one.encode())
+    (tmp_path / "tail.sql").write_bytes(one.encode() + b"; INSERT INTO t (a) VALUES (3)")
+    (tmp_path / "latin.sql").write_bytes(one.encode() + b"; -- \xe9\nINSERT INTO t (a) VALUES (4);")
+    found = []
+    for options in (
+        IngestOptions(split="file"), IngestOptions(split="statement"),
+        IngestOptions(split="auto", whole_file_bytes=5),
+    ):
+        rows = ingest_directory(spark, str(tmp_path), options).select("schema", "values").collect()
+        found.append(sorted((r["schema"], r["values"][0]) for r in rows))
+    assert found[0] == found[1] == found[2]
+    latin = "é".encode().decode("latin-1")
+    assert found[0] == sorted(
+        [("my dump+1", "2"), ("my dump+1", "é"), ("x[1]", "é"), ("tail", "2"), ("tail", "é"),
+         ("latin", "2"), ("latin", latin), ("latin", "4")]
+    )
+
+
+def test_depth_of_nesting(spark):
+    """Up to the limit a tuple is read as it stands, beyond it the statement is rejected."""
+    for depth, reason in ((1, None), (16, None), (40, None), (63, None), (64, "nested_too_deep"), (90, "nested_too_deep")):
+        inner = "(" * depth + "1" + ")" * depth
+        text = f"INSERT INTO t VALUES (7, {inner}), (8, 'x');"
+        frame = spark.createDataFrame([("p.sql", text)], "path string, content string")
+        rows = parse_statements(statements_of_text(frame)).select("values", "reason").collect()
+        assert {r["reason"] for r in rows} == {reason}, depth
+        if reason is None:
+            assert [r["values"] for r in rows] == [["7", inner], ["8", "x"]]
