@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -157,12 +158,12 @@ def _fold(word: Column, table: Column, buckets: int) -> Column:
 
 
 _BLOCK = (
-    "kind int, block string, bucket int, words array<string>, doc_ids array<long>, "
+    "kind int, block string, bucket int, words binary, doc_ids array<long>, "
     "counts binary, codes binary, places binary"
 )
 _NAMES = ["kind", "block", "bucket", "words", "doc_ids", "counts", "codes", "places"]
 _TYPES = [
-    pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()),
+    pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()),
     *[pa.binary()] * 3,
 ]
 #: Kinds of rows of a block.
@@ -182,6 +183,34 @@ def _unpacked(data: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+def _zipped(*parts: bytes) -> bytes:
+    """Bytes behind their lengths, compressed: shuffled data is mostly such."""
+    data = b"".join(parts)
+    head = np.array([len(parts), len(data), *map(len, parts)], "<u8").tobytes()
+    return head + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> list[bytes]:
+    count, size = (int(n) for n in np.frombuffer(data, "<u8", 2))
+    ends = np.cumsum(np.frombuffer(data, "<u8", count, 16).astype(np.int64))
+    whole = pa.decompress(data[16 + 8 * count :], size, "zstd", asbytes=True) if size else b""
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _packed_words(words: list[str]) -> bytes:
+    data = [word.encode() for word in words]
+    return _zipped(np.array([len(w) for w in data], "<u4").tobytes(), b"".join(data))
+
+
+def _unpacked_words(data: bytes) -> pa.StringArray:
+    lengths, text = _unzipped(data)
+    ends = np.cumsum(np.frombuffer(lengths, "<u4"))
+    offsets = np.concatenate([[0], ends]).astype("<i4")
+    return pa.StringArray.from_buffers(
+        len(ends), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)
+    )
+
+
 def _blocks(buckets: int):
     """Batches of ``(doc_id, words)`` to rows of blocks."""
 
@@ -204,7 +233,7 @@ def _blocks(buckets: int):
         ]
         cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
         for part in np.split(by_bucket, cuts) if len(words) else []:
-            own = [words[i] for i in part]
+            own = _packed_words([words[i] for i in part])
             rows.append((WORDS, block, int(bucket[part[0]]), own, None, None, None, None))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
@@ -240,7 +269,8 @@ def _blocks(buckets: int):
 
 def _distinct(table: pa.Table) -> pa.Table:
     """A bucket's rows to its distinct words."""
-    words = pc.unique(table.column("words").combine_chunks().flatten())
+    lists = [_unpacked_words(data) for data in table.column("words").to_pylist()]
+    words = pc.unique(pa.concat_arrays(lists))
     bucket = pa.array([table.column("bucket")[0].as_py()] * len(words), pa.int32())
     return pa.Table.from_arrays([bucket, words], names=["bucket", "word"])
 
@@ -248,23 +278,25 @@ def _distinct(table: pa.Table) -> pa.Table:
 def _given_back(asked: pa.Table, known: pa.Table) -> pa.Table:
     """The ids of each block's words of a bucket, in the order of its list."""
     if not asked.num_rows:
-        return pa.table({"block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()),
-                         "sizes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+        return pa.table(
+            {"block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()),
+             "given": pa.array([], pa.binary())}
+        )
     words = known.column("word").combine_chunks()
     lists = known.column("ids").combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     ids, starts = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[], [], []]
     for row in range(asked.num_rows):
-        at = pc.index_in(asked.column("words")[row].values, words).to_numpy()
+        at = pc.index_in(_unpacked_words(asked.column("words")[row].as_py()), words).to_numpy()
         rows[0].append(asked.column("block")[row].as_py())
         rows[1].append(asked.column("bucket")[row].as_py())
-        rows[2].append(sizes[at].astype("<u4").tobytes())
-        rows[3].append(_gathered(ids, starts[at], sizes[at]).astype("<u4").tobytes())
+        own = _gathered(ids, starts[at], sizes[at]).astype("<u4").tobytes()
+        rows[2].append(_zipped(sizes[at].astype("<u4").tobytes(), own))
     return pa.table(
         {
             "block": pa.array(rows[0], pa.string()), "bucket": pa.array(rows[1], pa.int32()),
-            "sizes": pa.array(rows[2], pa.binary()), "ids": pa.array(rows[3], pa.binary()),
+            "given": pa.array(rows[2], pa.binary()),
         }
     )
 
@@ -302,11 +334,10 @@ def _assembled(path: str):
         found: list[list] = [[], [], [], []]
         for row in texts.to_pylist():
             order = np.argsort(given.column("bucket").to_numpy(), kind="stable")
-            parts = [given.column("ids")[int(i)].as_py() for i in order]
-            sizes = b"".join(given.column("sizes")[int(i)].as_py() for i in order)
+            parts = [_unzipped(given.column("given")[int(i)].as_py()) for i in order]
             # By place, that is by bucket; then by code.
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(p[1] for p in parts), "<u4")
+            sizes = np.frombuffer(b"".join(p[0] for p in parts), "<u4").astype(np.int64)
             places = np.frombuffer(row["places"], "<u4")
             starts, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
             counts = np.frombuffer(row["counts"], "<i4")
@@ -329,6 +360,17 @@ def _assembled(path: str):
     return run
 
 
+def _written(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The blocks' rows as a table bucketed by block, so that texts don't shuffle again
+    when their words' ids come back."""
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    (
+        blocks.write.format("parquet").option("compression", "zstd").partitionBy("kind")
+        .bucketBy(min(buckets, 1000), "block").saveAsTable(name)
+    )
+    return blocks.sparkSession.table(name)
+
+
 def encode_digests(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -342,7 +384,7 @@ def encode_digests(
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     buckets = parts_for(docs, BUCKET_BYTES)
-    blocks = staged(rows.mapInArrow(_blocks(buckets), _BLOCK), partition_by="kind")
+    blocks = _written(rows.mapInArrow(_blocks(buckets), _BLOCK), buckets)
     asked = blocks.where(F.col("kind") == WORDS).select("bucket", "block", "words")
     distinct = asked.select("bucket", "words").groupBy("bucket").applyInArrow(
         _distinct, "bucket int, word string"
@@ -350,7 +392,7 @@ def encode_digests(
     known = staged(distinct.select("bucket", "word", fold_word(F.col("word"), path).alias("ids")))
     given = (
         asked.groupBy("bucket").cogroup(known.groupBy("bucket"))
-        .applyInArrow(_given_back, "block string, bucket int, sizes binary, ids binary")
+        .applyInArrow(_given_back, "block string, bucket int, given binary")
     )
     texts = blocks.where(F.col("kind") == TEXTS).select(
         "block", "doc_ids", "counts", "codes", "places"
