@@ -366,7 +366,7 @@ def _written(blocks: DataFrame, buckets: int) -> DataFrame:
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     (
         blocks.write.format("parquet").option("compression", "zstd").partitionBy("kind")
-        .bucketBy(min(buckets, 1000), "block").saveAsTable(name)
+        .bucketBy(min(buckets, 100_000), "block").saveAsTable(name)
     )
     return blocks.sparkSession.table(name)
 
