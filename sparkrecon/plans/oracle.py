@@ -159,14 +159,11 @@ def unique_key(table: str, names) -> str:
     return f"""SELECT '{table}' AS "table", CASE {picks} END AS primary_key FROM {table}"""
 
 
-SOURCE_TABLES = ("customer", "nation", "region", "supplier")
-DESTINATION_TABLES = ("customer", "nation", "part", "supplier")
-
-
-def _names(tables) -> str:
-    return " UNION ALL ".join(
-        f"""SELECT '{t}' AS "table" WHERE EXISTS (SELECT 1 FROM {t})""" for t in tables
-    )
+# Tables named by the data: one per three customers, if a side has any of them.
+SOURCE_TABLES = """SELECT DISTINCT 'batch_' || c_custkey // 3 AS "table" FROM customer
+  WHERE c_acctbal > 5000"""
+DESTINATION_TABLES = """SELECT DISTINCT 'batch_' || c_custkey // 3 AS "table" FROM customer
+  WHERE c_acctbal < 6000"""
 
 
 def chunk_content(table: str) -> str:
@@ -265,8 +262,8 @@ def oracle_sql() -> dict[str, str]:
       WHERE doc_id % 3 <> 0 GROUP BY text, lang, source"""
     status_ddl = f"""SELECT "table", CASE WHEN count(DISTINCT side) = 2 THEN 'both'
       WHEN min(side) = 'd' THEN 'destination_only' ELSE 'source_only' END AS status
-      FROM (SELECT "table", 's' AS side FROM ({_names(SOURCE_TABLES)})
-      UNION ALL SELECT "table", 'd' FROM ({_names(DESTINATION_TABLES)})) GROUP BY "table" """
+      FROM (SELECT "table", 's' AS side FROM ({SOURCE_TABLES})
+      UNION ALL SELECT "table", 'd' FROM ({DESTINATION_TABLES})) GROUP BY "table" """
     hot = indexed_rows("lineitem", "l_returnflag")
     two_tables = overall(("customer", "supplier"))
     return {
@@ -362,10 +359,10 @@ def oracle_sql() -> dict[str, str]:
           AND d.source IS NOT DISTINCT FROM f.source""",
         "row_hash_distinct": """SELECT lang, count(*) AS rows_total, count(DISTINCT (text, source)) AS rows_distinct
           FROM documents GROUP BY lang""",
-        "list_tables": _names(SOURCE_TABLES),
-        "common_tables": _names(t for t in SOURCE_TABLES if t in DESTINATION_TABLES),
-        "source_only_tables": _names(t for t in SOURCE_TABLES if t not in DESTINATION_TABLES),
-        "destination_only_tables": _names(t for t in DESTINATION_TABLES if t not in SOURCE_TABLES),
+        "list_tables": SOURCE_TABLES,
+        "common_tables": f"{SOURCE_TABLES} INTERSECT {DESTINATION_TABLES}",
+        "source_only_tables": f"{SOURCE_TABLES} EXCEPT {DESTINATION_TABLES}",
+        "destination_only_tables": f"{DESTINATION_TABLES} EXCEPT {SOURCE_TABLES}",
         "table_status": status_ddl,
         "mismatched_tables": f"SELECT * FROM ({status_ddl}) WHERE status <> 'both'",
         "schema_from_filename": """SELECT url, CASE WHEN contains(lower(stem), 'example') THEN 'example'

@@ -323,17 +323,19 @@ def row_hash_distinct(spark, sf):
 
 
 def _catalog_sides(spark, sf):
-    def side(names):
-        frames = [
-            pairs.load(spark, sf, n).select(F.lit("tpch").alias("schema"), F.lit(n).alias("table"))
-            for n in names
-        ]
-        return union_all(frames)
-
-    return (
-        side(("customer", "nation", "region", "supplier")),
-        side(("customer", "nation", "part", "supplier")),
-    )
+    """Parsed dumps of two sides, a statement per customer into a table per three
+    customers: which tables a side has depends on the balances."""
+
+    def side(schema, wanted):
+        text = F.format_string(
+            f"INSERT INTO {schema}.batch_%d (c_custkey, c_name) VALUES (%d, '%s');",
+            F.expr("c_custkey div 3"), "c_custkey", "c_name",
+        )
+        rows = pairs.load(spark, sf, "customer").where(wanted)
+        dumps = rows.select(F.lit(f"{schema}.sql").alias("path"), text.alias("content"))
+        return inserts(parse_statements(statements_of_text(dumps)))
+
+    return side("one", "c_acctbal > 5000"), side("two", "c_acctbal < 6000")
 
 
 def list_tables(spark, sf):
