@@ -275,6 +275,24 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     return joined.where(_sizes_fit("an", "bn") & enough).select("a", "b").distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only links between components count, and only the
+    components they touch are looked at."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = (
+        links.join(of_a, "a", "left").join(of_b, "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    merged = components(between)
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(moved, "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")
+    )
+    fresh = merged.join(labels, "node", "left_anti").select("node", "component")
+    return staged(known.unionByName(fresh))
+
+
 def linked_components(sets: DataFrame) -> DataFrame | None:
     """``(node, component)`` of the sets that are linked with others."""
     indexed = staged(sets.where("tokens is not null").select("node", "n", "tokens"))
@@ -286,13 +304,11 @@ def linked_components(sets: DataFrame) -> DataFrame | None:
     postings = staged(
         head.select("token", "node", "n", (F.col("n") - F.col("k") + F.col("at")).alias("place"))
     )
-    links, labels = None, None
+    labels = None
 
-    def joined(pairs: DataFrame) -> None:
-        nonlocal links, labels
+    def joined(pairs: DataFrame) -> DataFrame:
         new = _verified(pairs, indexed)
-        links = staged(new if links is None else links.unionByName(new))
-        labels = components(links)
+        return components(new) if labels is None else _merged(labels, new)
 
     for turn in range(PIVOT_ROUNDS):
         left = _labelled(postings, labels)
@@ -301,10 +317,8 @@ def linked_components(sets: DataFrame) -> DataFrame | None:
             return labels
         if pairs <= LEFT_PAIRS * total:
             break
-        joined(_pivot_pairs(left, turn))
-    left = _labelled(postings, labels)
-    joined(_all_pairs(left))
-    return labels
+        labels = joined(_pivot_pairs(left, turn))
+    return joined(_all_pairs(_labelled(postings, labels)))
 
 
 def join_components(
