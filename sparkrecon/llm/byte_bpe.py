@@ -222,7 +222,8 @@ def _blocks(buckets: int):
         code = np.empty(len(words), np.int64)
         code[often] = np.arange(len(words))
         bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
+        # Words in order within a bucket: neighbours share letters and ids, and shrink.
+        by_bucket = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
         places = np.empty(len(words), "<u4")
         places[code[by_bucket]] = np.arange(len(words))
         rows = [
