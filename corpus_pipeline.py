@@ -46,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in windows of 4096: a row per piece."""
+    """Token ids in windows of 4096: a row per piece, which holds its ids."""
     importable(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

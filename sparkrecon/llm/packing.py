@@ -13,7 +13,6 @@ Tasks need no data of each other, so nothing shuffles."""
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -30,8 +29,8 @@ WINDOW, END_ID = 4096, 2
 OPEN = 2048
 #: Sequence numbers of a task start at its number times this.
 SEQUENCES = 1 << 40
-#: Rows of an output batch.
-ROWS = 20_000
+#: Rows and bytes of ids of an output batch.
+ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 
 class Piece:
@@ -161,54 +160,59 @@ class Packer:
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """A row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset)``. ``path`` is the vocabulary file.
+    """A row per piece: ``(doc_id, start, length, ids, ids_crc32, doc_tokens,
+    sequence_id, offset)``. ``ids`` holds ``length`` ids as little-endian integers of
+    32 bits. ``path`` is the vocabulary file.
 
     Each document's ids end with ``END_ID``, so an empty or null text has one id. Null
     and repeated ids are packed like any other row; an empty table gives no rows."""
     kind = dict(docs.dtypes)[id_col]
-    fields = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"
-    schema = f"doc_id {kind}, {fields}, offset long"
-    names = ["doc_id", *(f.split()[0] for f in fields.split(", ")), "offset"]
+    fields = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"doc_id {kind}, {fields}"
+    names = ["doc_id", *(f.split()[0] for f in fields.split(", "))]
     end = np.array([END_ID], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(path), Packer()
         number = TaskContext.get().partitionId() * SEQUENCES
         rows: list[tuple] = []
-        id_type = None
+        held, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
+            nonlocal held
             columns = list(zip(*rows, strict=True))
-            arrays = [pa.array(columns[0], id_type)]
-            arrays += [pa.array(c, pa.int64()) for c in columns[1:]]
+            kinds = [id_type, *(pa.binary() if n == "ids" else pa.int64() for n in names[1:])]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             rows.clear()
+            held = 0
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        def write(sequence: list[Piece]) -> None:
-            nonlocal number
-            offset = 0
-            for p in sequence:
-                rows.append(
-                    (p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset)
-                )
-                offset += len(p)
-            number += 1
+        def write(sequences: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
+            nonlocal number, held
+            for sequence in sequences:
+                offset = 0
+                for p in sequence:
+                    rows.append((p.doc_id, p.start, len(p), p.ids, p.doc_tokens, number, offset))
+                    offset += len(p)
+                held += 4 * offset
+                number += 1
+                if len(rows) >= ROWS or held >= BATCH_BYTES:
+                    yield flush()
 
         for batch in batches:
             ids, texts = batch.columns
             id_type = ids.type
             for doc_id, text in zip(ids.to_pylist(), texts.cast(pa.binary()), strict=True):
                 found = own.encode(text.as_py() or b"") + end
-                for sequence in packer.add(Piece(doc_id, 0, found, len(found) // 4)):
-                    write(sequence)
-                if len(rows) >= ROWS:
-                    yield flush()
-        for sequence in packer.close():
-            write(sequence)
+                yield from write(packer.add(Piece(doc_id, 0, found, len(found) // 4)))
+        yield from write(packer.close())
         if rows:
             yield flush()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         packed, schema
     )
+    return pieces.select(
+        "doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )

@@ -71,8 +71,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in windows of 4096."""
-    return packing.pack(table(spark, sf_dir, "documents"), WORD_IDS)
+    """All documents in windows of 4096, the ids by their checksums."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_IDS).drop("ids")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,25 @@ def test_packing(edge, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def whole_ids(rows):
+    """Ids of each document from the pieces, with the same number of copies."""
+    found = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        assert len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids)
+        found.setdefault(r.doc_id, []).append(bytes(r.ids))
+    return {d: b"".join(pieces) for d, pieces in found.items()}
+
+
+@pytest.mark.parametrize("batch_bytes", [packing.BATCH_BYTES, 1])
+def test_packed_ids(edge, monkeypatch, batch_bytes):
+    monkeypatch.setattr(packing, "BATCH_BYTES", batch_bytes)
+    library = Tokenizer.from_file(WORDS)
+    once = [(d, t) for d, t in EDGE if d not in (None, 7)]
+    want = {d: u32([*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in once}
+    rows = packing.pack(edge.where("doc_id != 7"), WORDS).collect()
+    assert whole_ids(rows) == want
+
+
 def test_packer_keeps_every_id():
     rng = np.random.default_rng(2)
     packer, placed, expected = packing.Packer(window=64, most_open=20), Counter(), Counter()

@@ -6,12 +6,13 @@ import zlib
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkrecon.llm import toxicity
 from sparkrecon.llm.queries import ORACLE_SQL, QUERIES
 
-from .test_operators import base_spans, classes
+from .test_operators import WORDS, base_spans, classes, u32, whole_ids
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -109,3 +110,23 @@ def test_pipeline_against_plain_stages(spark):
         lengths[p.doc_id] = lengths.get(p.doc_id, 0) + p.length
         assert p.length <= 4096
     assert all(lengths[p.doc_id] == p.doc_tokens for p in pieces) and set(lengths) == set(kept)
+    library = Tokenizer.from_file(WORDS)
+    want = {d: u32([*library.encode(t, add_special_tokens=False).ids, 2]) for d, t in kept.items()}
+    assert whole_ids(pieces) == want
+
+
+def test_packing_query(spark, documents):
+    library = Tokenizer.from_file(WORDS)
+    rows, found = QUERIES["op6_packing"](spark, SF_DIR).collect(), {}
+    assert "ids" not in rows[0].asDict()
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(r)
+    assert sorted(found) == sorted(documents)
+    for d, pieces in found.items():
+        ids = u32([*library.encode(documents[d] or "", add_special_tokens=False).ids, 2])
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) // 4
+            at += r.length
+            assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * at])
+        assert 4 * at == len(ids)
