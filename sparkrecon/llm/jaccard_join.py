@@ -13,9 +13,13 @@
 5. Lists that still hold several components are joined in full, skipping blocks of
    sizes that cannot match and pairs whose positions in the list's sets leave too
    few common shingles.
+6. All links lie within components. Each set's partners there follow from those of a
+   similar set, its pivot: the pivot's numbers of common shingles, corrected by the
+   lists of the shingles that only one of the two has. Large components are cut into
+   blocks of sets, and each pair of blocks is counted in a task of its own.
 
-All links between components are verified on whole sets, so no link is lost, and
-near copies are never written out as all pairs."""
+All links are verified on whole sets, so none is lost; pairs of near copies stand in
+packed lists, a row per set and block."""
 
 from __future__ import annotations
 
@@ -37,6 +41,10 @@ COUNT_BYTES = 6 << 20
 #: Rounds with pivots at most, and pairs per indexed set that the full join may take
 #: over from them.
 PIVOT_ROUNDS, LEFT_PAIRS = 4, 20
+#: Sets and shingles of a block of a component, about.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
+#: Small components in one group of the step that counts links, by their shingles.
+GROUP_TOKENS = 1 << 19
 #: Bits of a shingle's hash within its range.
 LOW_BITS = 40
 
@@ -321,17 +329,148 @@ def linked_components(sets: DataFrame) -> DataFrame | None:
     return joined(_all_pairs(_labelled(postings, labels)))
 
 
+def _positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of several slices, one slice after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of ``left`` how many tokens it shares with each of ``right``. A set
+    takes the counts of the pivot, a set before it, and looks only at the lists of
+    tokens that one of the two has; if that is more than its own lists, it is counted
+    from these and becomes the pivot."""
+    sizes = np.array([len(x) for x in right])
+    known, which = np.unique(np.concatenate(right), return_inverse=True)
+    lists = np.repeat(np.arange(len(right)), sizes)[np.argsort(which, kind="stable")]
+    lengths = np.bincount(which, minlength=len(known))
+    starts = np.cumsum(lengths) - lengths
+
+    def counted(tokens: np.ndarray) -> np.ndarray:
+        found = lists[_positions(starts[tokens], lengths[tokens])]
+        return np.bincount(found, minlength=len(right))
+
+    pivot, answers = None, None
+    of_pivot, of_own = np.zeros(len(known), bool), np.zeros(len(known), bool)
+    for tokens in left:
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        own = at[known[at] == tokens]
+        if pivot is not None:
+            of_own[own] = True
+            more, less = own[~of_pivot[own]], pivot[~of_own[pivot]]
+            of_own[own] = False
+            if lengths[more].sum() + lengths[less].sum() < lengths[own].sum():
+                yield answers + counted(more) - counted(less)
+                continue
+            of_pivot[pivot] = False
+        pivot, answers = own, counted(own)
+        of_pivot[own] = True
+        yield answers
+
+
+_PARTNERS = "node long, partners array<long>, other_rows long"
+
+
+def _partners(table: pa.Table) -> pa.Table:
+    """Sets of whole components, or of one or two blocks of one, to the partners each has
+    among them (in the other block if there are two) and the rows these stand for."""
+    nodes, n, copies, component, block = (
+        table.column(c).to_numpy() for c in ("node", "n", "copies", "component", "block")
+    )
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    lists = table.column("tokens").combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    tokens = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    order = np.argsort(component, kind="stable")
+    own, other = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for members in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+        left, right = members[block[members] == i], members[block[members] == j]
+        if not len(left) or not len(right):
+            continue
+        counts = _common_counts([tokens[x] for x in left], [tokens[x] for x in right])
+        for x, common in zip(left, counts, strict=True):
+            linked = common * (NUMERATOR + DENOMINATOR) >= (n[x] + n[right].astype(np.int64)) * NUMERATOR
+            found = right[linked & (right != x)]
+            own.append(np.full(len(found), x))
+            other.append(found)
+    own, other = np.concatenate(own), np.concatenate(other)
+    if i != j:
+        own, other = np.concatenate([own, other]), np.concatenate([other, own])
+    order = np.argsort(own, kind="stable")
+    own, other = own[order], other[order]
+    having, numbers = np.unique(own, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(numbers)])
+    rows = np.bincount(own, copies[other], len(nodes)).astype(np.int64)
+    partners = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(nodes[other]))
+    return pa.Table.from_arrays(
+        [pa.array(nodes[having]), partners, pa.array(rows[having])],
+        names=["node", "partners", "other_rows"],
+    )
+
+
+def partners_of(sets: DataFrame, labels: DataFrame, copies: DataFrame) -> DataFrame:
+    """Lists ``(node, partners, other_rows)`` of the linked sets: all partners of a set
+    stand in one or several rows, each partner once. ``copies`` has the number of rows
+    of each node, and ``other_rows`` is their sum over the list."""
+    members = sets.where("tokens is not null").join(labels, "node").join(copies, "node")
+    members = staged(members.select("node", "n", "tokens", "component", "copies"))
+    size = F.sum(F.size("tokens"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, size / BLOCK_TOKENS)).cast("int")
+    # At most a component for each BLOCK_SETS sets or BLOCK_TOKENS shingles: a few.
+    large = members.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1")
+    total = members.agg(size).first()[0] or 0
+    groups = int(total // GROUP_TOKENS) + 1
+    dealt = (
+        members.join(F.broadcast(large), "component", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    small = F.col("blocks") == 1
+    group = F.when(small, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.col("component"))
+    cells = dealt.select(
+        "node", "n", "tokens", "component", "copies", "block", small.alias("small"),
+        group.alias("cell"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
+    )
+    return cells.groupBy("small", "cell", "i", "j").applyInArrow(_partners, _PARTNERS)
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, partner_id)`` per pair of different texts that are linked, each pair
+    once and each text by the smallest id that has it."""
+    rows, _, sets, labels = _classes(docs, id_col, text_col)
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    if labels is None:
+        return firsts.where("false").select(F.col("first").alias("doc_id"), F.col("first").alias("partner_id"))
+    found = partners_of(sets, labels, firsts.select("node", "copies"))
+    pairs = found.select("node", F.explode("partners").alias("partner")).where("node < partner")
+    left = firsts.select("node", F.col("first").alias("doc_id"))
+    right = firsts.select(F.col("node").alias("partner"), F.col("first").alias("partner_id"))
+    return pairs.join(left, "node").join(right, "partner").select("doc_id", "partner_id")
+
+
 def join_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` per row.
+    """``(doc_id, n_shingles, component_id, n_links)`` per row.
 
-    ``component_id`` is the smallest id reachable by links, the row's own included.
+    ``component_id`` is the smallest id reachable by links, the row's own included,
+    and ``n_links`` the number of other rows that the row is linked with.
     Texts without words (null, empty, blank) have no shingles and are linked with
     nothing: their component is their own id. Equal texts with words are linked, and
     so are repeated rows. A null id takes part but never names a component of
     others."""
-    return _classed(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    rows, known, sets, labels = _classes(docs, id_col, text_col)
+    copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
+    known = known.join(copies, "node").withColumn("n_links", F.col("copies") - 1)
+    if labels is not None:
+        found = partners_of(sets, labels, copies).groupBy("node").agg(F.sum("other_rows").alias("others"))
+        known = known.join(found, "node", "left").withColumn(
+            "n_links", F.col("n_links") + F.coalesce("others", F.lit(0))
+        )
+    return _named(rows, known).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
 
 
 def one_per_component(
@@ -339,13 +478,15 @@ def one_per_component(
 ) -> DataFrame:
     """The row of the smallest id of each component, with all its columns. Repeated rows
     give one; a component without any id keeps a row per text."""
-    classed = _classed(docs, id_col, text_col)
+    classed = _named(*_classes(docs, id_col, text_col)[:2])
     first = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     kept = classed.where(first).select("doc_id", F.col("node").alias("mark")).distinct()
     return semi_join_rows(docs, id_col, node_of(F.col(text_col)), kept)
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str):
+    """Rows ``(doc_id, node)``, classes ``(node, n, component_id)`` of texts with words,
+    the sets, and the labels of linked ones if any."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), node_of(text).alias("node"))
     texts = (
@@ -369,9 +510,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         sized.join(firsts, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     )
     known = staged(sized.join(named, "component").select("node", "n", "component_id"))
+    return rows, known, sets, labels
+
+
+def _named(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with what is known of their texts; texts without words get defaults."""
     return rows.join(known, "node", "left").select(
         "doc_id",
         "node",
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"),
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(c for c in known.columns if c == "n_links"),
     )

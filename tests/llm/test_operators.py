@@ -275,6 +275,37 @@ def test_jaccard_join(spark, edge, none, monkeypatch, rounds):
     assert kept.columns == edge.columns and ids == [1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+def linked(a, b):
+    return a and b and 4 * len(a & b) >= 3 * len(a | b)
+
+
+@pytest.mark.parametrize("blocks", [(1024, 1 << 20, 1 << 19), (2, 1 << 20, 1), (1024, 60, 1)])
+def test_jaccard_links(spark, edge, none, monkeypatch, blocks):
+    """With components whole and cut into blocks; chains of edits and copies included."""
+    for name, value in zip(("BLOCK_SETS", "BLOCK_TOKENS", "GROUP_TOKENS"), blocks, strict=True):
+        monkeypatch.setattr(jaccard_join, name, value)
+    base = [f"w{i}" for i in range(40)]
+    chain = [" ".join(base[:i] + [f"c{k}" for k in range(i)] + base[2 * i :]) for i in range(12)]
+    texts = [*near_texts(), *chain, *(" ".join([*base[: 40 - i], f"e{i}"]) for i in range(9)), chain[3]]
+    rows = [*enumerate(texts, 100)]
+    sets = [shingle_set(t) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: sum(j != i and bool(linked(sets[i], s)) for j, s in enumerate(sets)) for i, (d, _) in enumerate(rows)}
+    assert {r.doc_id: r.n_links for r in jaccard_join.join_components(docs).collect()} == want
+    first = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    named = [(first[t], s) for (d, t), s in zip(rows, sets, strict=True) if first[t] == d]
+    pairs = {(a, b) for a, x in named for b, y in named if a < b and linked(x, y)}
+    got = [tuple(sorted(r)) for r in jaccard_join.links(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 20
+    if blocks[0] == 2:
+        return
+    assert jaccard_join.links(none).count() == 0
+    got = {(r.doc_id, r.n_links) for r in jaccard_join.join_components(edge).collect()}
+    assert {(1, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 2), (7, 2), (None, 0)} <= got
+
+
 @pytest.mark.parametrize("small", [0, 1_000_000])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr("sparkrecon.llm.components.SMALL_LINKS", small)

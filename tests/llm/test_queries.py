@@ -12,7 +12,15 @@ import corpus_pipeline
 from sparkrecon.llm import toxicity
 from sparkrecon.llm.queries import ORACLE_SQL, QUERIES
 
-from .test_operators import WORDS, base_spans, classes, u32, whole_ids
+from .test_operators import (
+    WORDS,
+    base_spans,
+    classes,
+    linked,
+    shingle_set,
+    u32,
+    whole_ids,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -115,6 +123,15 @@ def test_pipeline_against_plain_stages(spark):
     assert whole_ids(pieces) == want
 
 
+def test_numbers_of_links(spark, documents):
+    sets = {d: shingle_set(t) for d, t in documents.items()}
+    got = {r.doc_id: r.n_links for r in QUERIES["op5_jaccard_join"](spark, SF_DIR).collect()}
+    assert got == {
+        d: sum(bool(linked(s, other)) for e, other in sets.items() if e != d) for d, s in sets.items()
+    }
+    assert max(got.values()) > 0
+
+
 def test_packing_query(spark, documents):
     library = Tokenizer.from_file(WORDS)
     rows, found = QUERIES["op6_packing"](spark, SF_DIR).collect(), {}
