@@ -30,27 +30,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder on the storage all executors share, ``spark.checkpoint.dir``.
-    Only a local session may go without that setting."""
+def shared_root(spark: SparkSession) -> str:
+    """The storage all executors share, ``spark.checkpoint.dir``. Only a local session
+    may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="llm-stage-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below :func:`shared_root`."""
+    return f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, partition_by: str | None = None, path: str | None = None) -> DataFrame:
     """The frame, written once as Parquet and read again: lost executors then cost
-    no recomputation, and all readers see the same rows."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    no recomputation, and all readers see the same rows. With ``path``, a new folder
+    of :func:`shared_folder`, the caller can drop it later."""
+    spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`shared_folder` that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's inputs as their files tell it, without a job. (The plan's own
     estimate shrinks with each column left out, whatever the column holds.) Inputs

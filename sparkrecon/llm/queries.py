@@ -14,6 +14,7 @@ from sparkrecon.llm import (
     exact_dedup,
     fingerprints,
     jaccard_join,
+    ns_kmeans,
     packing,
     personal_data,
     sharding,
@@ -100,6 +101,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ns_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters, by five rounds."""
+    return ns_kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -111,9 +117,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_sharding": op10_sharding,
+    "op11_ns_kmeans": op11_ns_kmeans,
 }
 
+def _lloyd_sql(rounds: int) -> str:
+    """Exact k-means in SQL: ``a`` is an assignment, ``c`` are centroids."""
+    nearest = """
+        a{t} AS (SELECT n, min(v) AS v, min({{'d': d, 'j': j}}).d AS d, min({{'d': d, 'j': j}}).j AS j FROM (
+            SELECT n, v, j, CAST(list_sum(list_transform(list_zip(v, c),
+                lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{t})
+            GROUP BY n)"""
+    means = """
+        c{u} AS (SELECT c{t}.j, coalesce(m.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+            SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+                SELECT j, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) r(i) GROUP BY j, i)
+            GROUP BY j) m ON m.j = c{t}.j)"""
+    steps = [nearest.format(t=0)]
+    for t in range(rounds):
+        steps += [means.format(t=t, u=t + 1), nearest.format(t=t + 1)]
+    return f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS n, vec_id,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64
+                AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        c0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS j, v AS c
+            FROM v WHERE vec_id IS NOT NULL ORDER BY j LIMIT 40),{",".join(steps)}
+        SELECT v.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance,
+            CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+            CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (n) JOIN c{rounds} c ON c.j = a.j"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_ns_kmeans": _lloyd_sql(5),
     "op5_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(
@@ -135,7 +174,8 @@ ORACLE_SQL: dict[str, str] = {
         r(doc_id, m) AS (
             SELECT doc_id, doc_id FROM documents
             UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.doc_id)
-        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.m) AS component_id
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.m) AS component_id,
+            (SELECT count(*) FROM l WHERE l.x = s.doc_id) AS n_links
         FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
     "op7_exact_dedup": """
         WITH d AS (
