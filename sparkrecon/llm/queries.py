@@ -18,6 +18,7 @@ from sparkrecon.llm import (
     packing,
     personal_data,
     sharding,
+    simhash,
     token_files,
     toxicity,
     url_filter,
@@ -106,6 +107,11 @@ def op11_ns_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ns_kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5).rows
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked from fingerprints that differ in four bits at most."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), reach=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op10_sharding": op10_sharding,
     "op11_ns_kmeans": op11_ns_kmeans,
+    "op12_simhash": op12_simhash,
 }
 
 def _lloyd_sql(rounds: int) -> str:
