@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.llm import (
     byte_bpe,
+    conversation_trie,
     exact_dedup,
     fingerprints,
     jaccard_join,
@@ -112,6 +113,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), reach=4)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on the start of another."""
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_ns_kmeans": op11_ns_kmeans,
     "op12_simhash": op12_simhash,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 def _lloyd_sql(rounds: int) -> str:
@@ -159,6 +166,44 @@ def _lloyd_sql(rounds: int) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_conversation_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (
+            SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST,
+                substr(sha256(length(r) || ':' || r || x), 1, 32)) AS l,
+                xor(list_reduce(
+                    list_concat([4294967295], list_transform(
+                        string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                    lambda a, b: list_reduce(
+                        list_concat([xor(a, b)], list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+                        lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 9 AS h
+            FROM t GROUP BY c),
+        b AS (
+            SELECT a.c, list_concat(list_slice(coalesce(o.l, []), 1, a.h), list_slice(a.l, a.h + 1, len(a.l))) AS l
+            FROM o a LEFT JOIN o ON o.c = a.c - a.c % 5),
+        p AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b),
+        m AS (
+            SELECT list_slice(l, 1, d) AS k, d, min(c) AS conv_id, count(*) AS n_convs,
+                coalesce(string_agg(CASE WHEN len(l) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends
+            FROM p GROUP BY k, d),
+        w AS (
+            SELECT list_slice(k, 1, d - 1) AS k, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0
+            GROUP BY ALL),
+        n AS (
+            SELECT m.*, coalesce(n_children, 0) AS n_children,
+                CASE WHEN m.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(m.k[m.d].x) END AS saved
+            FROM m LEFT JOIN w ON w.k = m.k AND w.d = m.d),
+        u AS (SELECT k, d, n_children, saved, unnest(range(0, d + 1)) AS a FROM n),
+        s AS (
+            SELECT list_slice(k, 1, a) AS k, a AS d, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+                count(*) FILTER (n_children = 0) AS n_leaves
+            FROM u GROUP BY ALL)
+        SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+            s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s ON s.k = n.k AND s.d = n.d
+        LEFT JOIN n q ON q.d = n.d - 1 AND q.k = list_slice(n.k, 1, n.d - 1)""",
     "op11_ns_kmeans": _lloyd_sql(5),
     "op5_jaccard_join": r"""
         WITH RECURSIVE w AS (
