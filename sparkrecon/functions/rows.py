@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,12 @@ from sparkrecon.functions.text import strip_text, text_or_token
 META_COLUMNS = ("__schema__", "__table__")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. (An expression named twice, or inside
+    a lambda, may be computed anew each time.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_map(columns: Column, values: Column) -> Column:
     """Map of two parallel arrays; of a repeated column the last value wins.
 

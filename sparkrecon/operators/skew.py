@@ -144,6 +144,20 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def ordered_lookup(
+    big: DataFrame, small: DataFrame, on: Sequence[str], groups: Sequence[str], order: str,
+    how: str = "inner",
+) -> DataFrame:
+    """:func:`lookup_join` for a reader that needs the rows of each of ``groups`` in one
+    task, in ``order``. ``big`` has them so, and a small table leaves them so; only
+    after a salted look-up they are brought together again."""
+    held = small_table(small)
+    if _is_local(held):
+        return big.join(F.broadcast(held), list(on), how)
+    joined = lookup_join(big, held, on, how, [order])
+    return joined.repartition(*groups).sortWithinPartitions(*groups, order)
+
+
 def repeat_rows(df: DataFrame, times: str, block: int = 10_000) -> DataFrame:
     """Each row ``times`` times, for counts of any size.
 

@@ -73,7 +73,8 @@ class IngestOptions:
         ``auto`` does so for files of more than ``whole_file_bytes``. Both give
         the same statements; one without ``;`` at the end does not count.
     ``quote_aware``
-        ``True`` keeps a ``;`` inside a literal (whole files only).
+        ``True`` keeps a ``;`` inside a literal. A quote that no other one ends is a
+        sign like any other.
     ``backslash_escapes``
         ``True`` lets a backslash protect the quote after it, ``False`` reads
         literals as in standard SQL, where only a doubled quote is one.
@@ -94,8 +95,6 @@ class IngestOptions:
     def __post_init__(self) -> None:
         if self.split not in ("auto", "file", "statement"):
             raise ValueError(f"unknown split {self.split!r}")
-        if self.quote_aware and self.split == "statement":
-            raise ValueError("quote_aware needs whole files")
 
     @classmethod
     def historic(cls, **kwargs: Any) -> IngestOptions:

@@ -37,6 +37,10 @@ PART = """SELECT p_partkey, p_name, p_brand, p_type, p_size,
 PART_DST = f"""SELECT * REPLACE (CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size)
   FROM ({PART}) WHERE p_partkey % 8 <> 0"""
 
+DEEP = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+  repeat('f(', CAST(c_custkey % 200 + 1 AS INTEGER)) || c_custkey || repeat(')', CAST(c_custkey % 200 + 1 AS INTEGER))
+  AS call, c_name FROM customer"""
+
 COLUMNS = {
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "lineitem": (
@@ -380,6 +384,19 @@ def oracle_sql() -> dict[str, str]:
           trim(html, {BLANKS}) AS html FROM pages""",
         "ingest_long_text": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
           trim(text, {BLANKS}) AS text FROM documents""",
+        "scan_dump_quoted": f"""SELECT CAST(page_id AS VARCHAR) AS page_id, trim(url, {BLANKS}) AS url,
+          trim(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {BLANKS}) AS html FROM pages""",
+        "ingest_deep_nesting": DEEP,
+        "ingest_deep_nesting_historic": DEEP,
+        "run_rejects": """SELECT s AS "schema", 'customer' AS "table",
+          CASE WHEN k % 3 = 0 THEN 'arity_mismatch' ELSE 'unclosed_tuple' END AS reason,
+          CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END AS tuple,
+          'INSERT INTO ' || s || '.customer (c_custkey, c_name) VALUES ' || good || ', ' ||
+          CASE WHEN k % 3 = 0 THEN '(' || name || '), ' || good
+            ELSE good || ', (((' || k || '), ' || name END || ';' AS statement
+          FROM (SELECT c_custkey AS k, '''' || replace(c_name, '''', '''''') || '''' AS name,
+            '(' || k || ', ' || name || ')' AS good FROM customer WHERE c_custkey % 3 <> 1),
+          (VALUES ('one'), ('two')) AS v(s)""",
         "ingest_statement_targets": """SELECT 'customer' AS "table", 'crm' AS "schema", count(*) AS statements
           FROM (SELECT DISTINCT c_custkey // 20 FROM customer) UNION ALL SELECT 'supplier', 'dump',
           count(*) FROM (SELECT DISTINCT s_suppkey // 20 FROM supplier)""",

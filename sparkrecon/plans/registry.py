@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -393,15 +394,17 @@ def _tuple(columns: Sequence[Column]) -> Column:
 
 
 def _dump(df: DataFrame, target: str, key: str, names: Sequence[str] = (), quote: str = "'",
-          per_statement: int = 20, per_file: int = 500, file: str = "dump.sql") -> DataFrame:
+          per_statement: int = 20, per_file: int = 500, file: str = "dump.sql",
+          bare: Sequence[str] = ()) -> DataFrame:
     """Rows as INSERT statements of 20 rows in texts of 500: groups of a fixed
-    size, whatever the size of the table."""
+    size, whatever the size of the table. Columns in ``bare`` are written as they are."""
     heading = f" ({', '.join(names)})" if names else ""
     rows = df.select(
         F.floor(F.col(key) / per_file).alias("f"),
         F.floor(F.col(key) / per_statement).alias("g"),
         F.struct(
-            F.col(key).alias("k"), _tuple([_quoted(F.col(c), quote) for c in df.columns]).alias("t")
+            F.col(key).alias("k"),
+            _tuple([F.col(c) if c in bare else _quoted(F.col(c), quote) for c in df.columns]).alias("t"),
         ).alias("r"),
     )
     grouped = rows.groupBy("f", "g").agg(F.sort_array(F.collect_list("r")).alias("rs"))
@@ -446,6 +449,24 @@ def ingest_long_text(spark, sf):
     return to_table(to_rows(inserts(_parse(texts, STANDARD_SQL))), df.columns)
 
 
+def _deep(spark, sf, options: IngestOptions) -> DataFrame:
+    """Calls nested 1 to 200 deep, a value of every customer."""
+    depth = (F.col("c_custkey") % 200 + 1).cast("int")
+    call = F.concat(F.repeat(F.lit("f("), depth), F.col("c_custkey").cast("string"), F.repeat(F.lit(")"), depth))
+    df = pairs.customer(spark, sf).select("c_custkey", call.alias("call"), "c_name")
+    texts = _dump(df, "crm.calls", "c_custkey", df.columns, bare=["call"])
+    return to_table(to_rows(inserts(_parse(texts, options))), df.columns)
+
+
+def ingest_deep_nesting(spark, sf):
+    return _deep(spark, sf, IngestOptions())
+
+
+def ingest_deep_nesting_historic(spark, sf):
+    # A tuple that begins on a line of its own, as in the dumps here, is read in either way.
+    return _deep(spark, sf, IngestOptions.historic())
+
+
 def _two_dumps(spark, sf) -> DataFrame:
     customer, supplier = pairs.customer(spark, sf), pairs.supplier(spark, sf)
     return _dump(customer, "crm.customer", "c_custkey", customer.columns).unionByName(
@@ -532,6 +553,14 @@ def scan_dump_statements(spark, sf):
     return _scanned(spark, sf, IngestOptions(split="statement"))
 
 
+def scan_dump_quoted(spark, sf):
+    """Web pages with semicolons and line ends in literals, from files read in blocks."""
+    df = pairs.load(spark, sf, "pages").select("page_id", "url", "html")
+    folder = _written(spark, _dump(df, "web.pages", "page_id", df.columns))
+    options = replace(STANDARD_SQL, split="statement")
+    return to_table(to_rows(ingest_directory(spark, folder, options)), df.columns)
+
+
 def _run_dumps(spark, sf, which: int, schema: str) -> DataFrame:
     texts = []
     for name, both in pairs.typed_tables(spark, sf).items():
@@ -551,6 +580,32 @@ def run_direct(spark, sf):
     return run(spark, options).overall
 
 
+def _faulty(spark, sf, schema: str) -> DataFrame:
+    """A statement for each customer of three tuples, the second or the last broken."""
+    key, name = F.col("c_custkey").cast("string"), _quoted(F.col("c_name"))
+    good = F.concat(F.lit("("), key, F.lit(", "), name, F.lit(")"))
+    kind = F.col("c_custkey") % 3
+    broken = F.when(kind == 0, F.concat(F.lit("("), name, F.lit(")"))).when(kind == 1, good)
+    last = F.when(kind == 2, F.concat(F.lit("((("), key, F.lit("), "), name)).otherwise(good)
+    broken = F.coalesce(broken, good)
+    text = F.concat(
+        F.lit(f"INSERT INTO {schema}.customer (c_custkey, c_name) VALUES "),
+        F.concat_ws(", ", good, broken, last), F.lit(";"),
+    )
+    return pairs.customer(spark, sf).select(text.alias("content"))
+
+
+def run_rejects(spark, sf):
+    """The rejects of a run with the whole statements they come from."""
+    folders = {s: _written(spark, _faulty(spark, sf, s)) for s in ("one", "two")}
+    result = run(spark, RunOptions(
+        schemas=("one", "two"), schema_paths=folders, use_direct_comparison=True,
+        run_expectations=False,
+    ))
+    found = result.rejects.join(result.rejected_statements, ["path", "block", "stmt"])
+    return found.select("schema", "table", "reason", "tuple", "statement")
+
+
 def run_document(spark, sf):
     """One folder with the dumps of two schemas in, totals out."""
     texts = _run_dumps(spark, sf, 0, "one").unionByName(_run_dumps(spark, sf, 1, "two"))
@@ -765,6 +820,10 @@ def queries() -> dict[str, Query]:
         "scan_dump_statements": scan_dump_statements,
         "ingest_quoted_text": ingest_quoted_text,
         "ingest_long_text": ingest_long_text,
+        "ingest_deep_nesting": ingest_deep_nesting,
+        "ingest_deep_nesting_historic": ingest_deep_nesting_historic,
+        "scan_dump_quoted": scan_dump_quoted,
+        "run_rejects": run_rejects,
         "ingest_statement_targets": ingest_statement_targets,
         "ingest_rejects": ingest_rejects,
         "ingest_default_columns": ingest_default_columns,

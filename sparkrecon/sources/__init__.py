@@ -4,6 +4,7 @@ from sparkrecon.sources.dumps import (
     inserts,
     parse_statements,
     rejected_files,
+    rejected_statements,
     rejects,
     scan_directory,
     scan_files,
@@ -18,6 +19,7 @@ __all__ = [
     "inserts",
     "parse_statements",
     "rejected_files",
+    "rejected_statements",
     "rejects",
     "scan_directory",
     "scan_files",

@@ -19,10 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkrecon.functions.rows import let
 from sparkrecon.functions.text import file_extension, file_stem, strip_text
-from sparkrecon.operators.skew import lookup_join
+from sparkrecon.operators.skew import lookup_join, ordered_lookup
 from sparkrecon.options import DUMP_EXTENSIONS, IngestOptions
+from sparkrecon.sources import nesting
 from sparkrecon.sources import patterns as P
+from sparkrecon.sources.quotes import cut_statements
 
 STATEMENT_FIELDS = "path string, dialect string, block bigint, stmt bigint, statement string"
 TEXT_GLOB = "*.{" + ",".join(e for e in DUMP_EXTENSIONS if e != "docx") + "}"
@@ -71,6 +74,7 @@ def _reader(spark: SparkSession, options: IngestOptions, kind: str, glob: str |
 
 def _whole_statements(files: DataFrame, pattern: str, dialect: str) -> DataFrame:
     found = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+    found = F.filter(found, lambda s: s != "")
     return files.select(
         "path",
         F.lit(dialect).alias("dialect"),
@@ -79,14 +83,15 @@ def _whole_statements(files: DataFrame, pattern: str, dialect: str) -> DataFrame
     ).withColumn("stmt", F.col("stmt").cast("long"))
 
 
-def _split_statements(reader, paths: Sequence[str]) -> DataFrame:
+def _split_statements(reader, paths: Sequence[str], options: IngestOptions) -> DataFrame:
     """Pieces between semicolons. Large files are cut into blocks, one or more
     tasks each; block start and position within the task give the order.
 
     A first pass over the pieces finds, per file, what a reader of the whole file
     sees at once: whether all of it is UTF-8, and whether it ends in a statement
     without semicolon (then one more byte was counted than the file has), which
-    does not count."""
+    does not count. With ``quote_aware`` pieces are joined where a semicolon stands
+    in a literal (see :mod:`sparkrecon.sources.quotes`)."""
     name = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     pieces = reader.option("lineSep", ";").load(list(paths)).select(
         F.coalesce(F.try_url_decode(name), F.col("_metadata.file_path")).alias("path"),
@@ -96,16 +101,29 @@ def _split_statements(reader, paths: Sequence[str]) -> DataFrame:
         F.col("_metadata.file_size").alias("size"),
         "value",
     )
+    place = F.struct("block", "stmt")
+    none = F.struct(*[F.lit(-1).cast("long").alias(c) for c in ("block", "stmt")])
+    more = P.closing_patterns(options) if options.quote_aware else {}
     files = pieces.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         (F.sum(F.octet_length("value") + 1) > F.max("size")).alias("open"),
-        F.max(F.struct("block", "stmt")).alias("last"),
+        F.max(place).alias("last"),
+        *[
+            F.max(F.when(F.col("value").rlike(p), place).otherwise(none)).alias(f"last_{q}")
+            for q, p in more.items()
+        ],
     )
-    known = lookup_join(pieces, files, ["path"], "inner", ["stmt"])
-    tail = F.col("open") & (F.struct("block", "stmt") == F.col("last"))
     data = F.col("value").cast("binary")
     text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(data, "ISO-8859-1"))
-    found = F.regexp_extract(F.regexp_replace(text, "\r\n?", "\n"), P.OPEN_STATEMENT, 1)
+    text = F.regexp_replace(text, "\r\n?", "\n")
+    if options.quote_aware:
+        known = ordered_lookup(pieces, files, ["path"], ["path", "block"], "stmt")
+        known = known.where(~(F.col("open") & (place == F.col("last"))))
+        later = {q: place < F.col(f"last_{q}") for q in more}
+        return cut_statements(known.withColumn("text", text), later, options)
+    known = lookup_join(pieces, files, ["path"], "inner", ["stmt"])
+    tail = F.col("open") & (place == F.col("last"))
+    found = F.regexp_extract(text, P.OPEN_STATEMENT, 1)
     statements = known.where(~tail).select(
         "path", "dialect", "block", "stmt", F.concat(found, F.lit(";")).alias("statement")
     )
@@ -126,18 +144,17 @@ def _statements(
 ) -> DataFrame:
     parts = []
     if text and options.split == "statement":
-        parts.append(_split_statements(_reader(spark, options, "text", globs[0]), text))
+        parts.append(_split_statements(_reader(spark, options, "text", globs[0]), text, options))
     elif text:
         files = _reader(spark, options, "binaryFile", globs[0]).load(list(text))
         if options.split == "auto":
             small = F.col("length") <= options.whole_file_bytes
             # Only names and sizes are read here.
             large = [r["path"] for r in files.where(~small).select("path").collect()]
-            if large and options.quote_aware:
-                raise ValueError(f"too large to read as a whole for quote_aware: {large[0]}")
             if large:
                 paths = [_plain_path(path) for path in large]
-                parts.append(_split_statements(_reader(spark, options, "text", None), paths))
+                reader = _reader(spark, options, "text", None)
+                parts.append(_split_statements(reader, paths, options))
                 files = files.where(small)
         files = files.select("path", _decoded(F.col("content")).alias("content"))
         parts.append(_whole_statements(files, P.statement_pattern(options), "text"))
@@ -262,12 +279,15 @@ def _clean_docx(text: Column) -> Column:
     )
 
 
-def _text_values(tuple_text: Column, options: IngestOptions) -> Column:
+def _text_values(tuple_text: Column, options: IngestOptions, deep: bool) -> Column:
     inner = F.substring(tuple_text, F.lit(2), F.length(tuple_text) - 2)
     if options.keep_empty_items:
-        items = F.regexp_extract_all(
-            F.concat(F.lit(","), inner), F.lit(P.item_pattern(options)), F.lit(1)
-        )
+        if deep:
+            items = nesting.parts(nesting.marked(inner, P.token_pattern(options, commas=True)))
+        else:
+            items = F.regexp_extract_all(
+                F.concat(F.lit(","), inner), F.lit(P.item_pattern(options)), F.lit(1)
+            )
         # Stripped in a step of its own: a lambda computes each use of a value anew.
         bare = F.transform(items, strip_text)
         values = F.transform(bare, lambda t: _clean_text(t, options))
@@ -285,13 +305,21 @@ def _docx_values(inner: Column) -> Column:
     return F.transform(F.transform(kept, strip_text), _clean_docx)
 
 
-def _tuples(values: Column, dialect: Column, options: IngestOptions) -> Column:
-    text = F.regexp_extract_all(values, F.lit(P.tuple_pattern(options)), F.lit(0))
-    if not options.multiline_tuples:
-        text = F.filter(text, lambda t: ~F.contains(t, F.lit("\n")))
+def _tuples(values: Column, marked: Column, dialect: Column, options: IngestOptions) -> Column:
+    """The values of all tuples; ``marked`` is null where patterns read all of them."""
+
+    def read(text: Column, deep: bool) -> Column:
+        if not options.multiline_tuples:
+            text = F.filter(text, lambda t: ~F.contains(t, F.lit("\n")))
+        return F.transform(text, lambda t: _text_values(t, options, deep))
+
     docx = F.regexp_extract_all(values, F.lit(P.DOCX_TUPLE), F.lit(1))
-    return F.when(dialect == "docx", F.transform(docx, _docx_values)).otherwise(
-        F.transform(text, lambda t: _text_values(t, options))
+    plain = F.regexp_extract_all(values, F.lit(P.tuple_pattern(options)), F.lit(1))
+    plain = F.filter(plain, lambda t: t != "")
+    return (
+        F.when(dialect == "docx", F.transform(docx, _docx_values))
+        .when(marked.isNull(), read(plain, False))
+        .otherwise(read(nesting.groups(marked), True))
     )
 
 
@@ -312,17 +340,17 @@ def parse_statements(
     ).otherwise(stmt)
 
     values = F.regexp_extract(stmt, section, 1)
-    deep = F.lit(False)
-    if options.mixed_quotes:
-        deep = (dialect != "docx") & values.rlike(P.too_deep_pattern(options))
+    odd = (dialect != "docx") & ~values.rlike(P.plain_pattern(options))
+    marked = F.when(odd, nesting.marked(values, P.token_pattern(options, commas=False)))
 
-    heads = statements.select(
+    heads = statements.withColumn("marked", marked).select(
         F.coalesce(F.nullif(schema, F.lit("")), file_stem(F.col("path"))).alias("schema"),
         F.nullif(table, F.lit("")).alias("table"),
         F.when(listed != "", names).alias("listed"),
-        F.when(~deep, _tuples(values, dialect, options)).alias("tuples"),
-        deep.alias("deep"),
+        _tuples(values, F.col("marked"), dialect, options).alias("tuples"),
+        F.coalesce(nesting.has_open_group(F.col("marked")), F.lit(False)).alias("open"),
         F.when(dialect == "docx", stmt).otherwise(short).alias("raw_statement"),
+        "statement",
         "path",
         "block",
         "stmt",
@@ -336,20 +364,25 @@ def parse_statements(
     )
     # Named before the tuples are taken apart, so no tuple carries all the others.
     named = heads.withColumn("columns", F.coalesce("listed", generic)).drop("listed")
+    # A tuple that is never closed comes last, as null.
+    unclosed = F.array(F.lit(None).cast("array<string>"))
+    found = F.when(F.col("open"), F.concat("tuples", unclosed)).otherwise(F.col("tuples"))
+    kept = F.when(F.col("table").isNotNull(), F.size("columns"))
+    entries = let(kept, lambda n: let(found, lambda t: _entries(t, n, F.col("statement"))))
     tuples = named.select(
         "schema",
         "table",
         "columns",
-        F.posexplode_outer("tuples").alias("tuple", "values"),
-        "deep",
+        F.posexplode_outer(entries).alias("tuple", "entry"),
         "raw_statement",
+        F.when(F.size(found) < 1, F.col("statement")).alias("lone"),
         "path",
         "block",
         "stmt",
-    )
+    ).withColumn("values", F.col("entry.values"))
     reason = (
         F.when(F.col("table").isNull(), "no_target")
-        .when(F.col("deep"), "nested_too_deep")
+        .when(F.col("tuple").isNotNull() & F.col("values").isNull(), "unclosed_tuple")
         .when(F.col("values").isNull(), "no_values")
         .when(F.col("columns").isNull() | (F.size("values") != F.size("columns")), "arity_mismatch")
     )
@@ -361,12 +394,30 @@ def parse_statements(
         "raw_statement",
         F.struct("path", "block", "stmt", "tuple").alias("ord"),
         reason.alias("reason"),
+        F.coalesce("entry.whole", "lone").alias("statement"),
+    )
+
+
+def _entries(tuples: Column, width: Column, statement: Column) -> Column:
+    """Tuples with the statement beside the first of them that gives no row (any, if the
+    statement as a whole gives none), so that a reject's text is kept once."""
+    bad = F.transform(
+        tuples, lambda t: F.coalesce(F.size(t) != width, F.lit(True)) | t.isNull()
+    )
+    return let(
+        F.array_position(bad, True),
+        lambda first: F.transform(
+            tuples,
+            lambda t, i: F.struct(
+                t.alias("values"), F.when(i + 1 == first, statement).alias("whole")
+            ),
+        ),
     )
 
 
 def inserts(parsed: DataFrame) -> DataFrame:
     """The table rows among parsed tuples."""
-    return parsed.where(F.col("reason").isNull()).drop("reason")
+    return parsed.where(F.col("reason").isNull()).drop("reason", "statement")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
@@ -383,6 +434,17 @@ def rejects(parsed: DataFrame) -> DataFrame:
     )
 
 
+def rejected_statements(parsed: DataFrame) -> DataFrame:
+    """``(path, block, stmt, statement)``: the whole text of every statement of which
+    something was rejected, once; rejects refer to it by the first three."""
+    return parsed.where(F.col("statement").isNotNull()).select(
+        F.col("ord.path").alias("path"),
+        F.col("ord.block").alias("block"),
+        F.col("ord.stmt").alias("stmt"),
+        "statement",
+    )
+
+
 def ingest_directory(
     spark: SparkSession, directory: str, options: IngestOptions = IngestOptions()
 ) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from sparkrecon.options import IngestOptions
 
-# Parentheses inside a tuple may nest this deep; deeper ones are rejected.
-NESTING = 64
+# Tuples that nest no deeper are read by patterns, other ones by tokens.
+NESTING = 16
 
 # What a statement, its target and its column list look like, and
 # what a tuple is in a document.
@@ -25,6 +25,8 @@ VALUES = r"(?isU)^INSERT\s+INTO\s+[\w\.]+\s*(?:\([^)]+\))?.*?\bVALUES\s*(.*?);?\
 # ... or, in the historic reading, at the first such word of the statement.
 FIRST_VALUES = r"(?isU)VALUES\s*(.*?);?\z"
 
+QUOTES = {"single": "'", "double": '"', "any": "'\""}
+
 # Historic: any quote ends a literal that any quote began.
 ANY_QUOTE = r"""(?<=\\)['"]|['"](?:[^'"]++|(?<=\\)['"])*+['"]"""
 
@@ -38,15 +40,20 @@ HISTORIC_ITEM = (
 )
 
 
-def literal_pattern(options: IngestOptions) -> str:
-    """A literal in either kind of quotes; a doubled quote stands for itself."""
+def literals(options: IngestOptions) -> dict[str, str]:
+    """A literal by the kind of quotes around it; a doubled quote stands for itself."""
     if not options.mixed_quotes:
-        return ANY_QUOTE
-    if not options.backslash_escapes:
-        return r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+\""""
-    single = r"'[^'\\]*+(?:(?:''|\\[\s\S])[^'\\]*+)*+'"
-    double = r'"[^"\\]*+(?:(?:""|\\[\s\S])[^"\\]*+)*+"'
-    return f"{single}|{double}"
+        return {"any": ANY_QUOTE}
+    if options.backslash_escapes:
+        return {
+            "single": r"'[^'\\]*+(?:(?:''|\\[\s\S])[^'\\]*+)*+'",
+            "double": r'"[^"\\]*+(?:(?:""|\\[\s\S])[^"\\]*+)*+"',
+        }
+    return {"single": r"'[^']*+(?:''[^']*+)*+'", "double": r'"[^"]*+(?:""[^"]*+)*+"'}
+
+
+def literal_pattern(options: IngestOptions) -> str:
+    return "|".join(literals(options).values())
 
 
 def _tuple(literal: str, depth: int) -> str:
@@ -57,23 +64,31 @@ def _tuple(literal: str, depth: int) -> str:
 
 
 def statement_pattern(options: IngestOptions) -> str:
-    if options.quote_aware:
-        return rf"""(?iU)(INSERT\s+INTO(?:[^;'"]++|{literal_pattern(options)}|['"])++;)"""
-    return STATEMENT
+    """Group 1 is empty where a statement is still open at the end of the text."""
+    if not options.quote_aware:
+        return STATEMENT
+    body = rf"""INSERT\s+INTO(?:[^;'"]++|{literal_pattern(options)}|['"])++"""
+    return rf"(?iU)({body};)|{body}\z"
 
 
 def tuple_pattern(options: IngestOptions) -> str:
-    return _tuple(literal_pattern(options), NESTING)
+    """Group 1 is a tuple, or empty for a literal outside of tuples."""
+    literal = literal_pattern(options)
+    return rf"{literal}|({_tuple(literal, NESTING)})"
 
 
-def too_deep_pattern(options: IngestOptions) -> str:
-    """From the start, over whatever reads well: a parenthesis inside another that no
-    pattern of ``NESTING`` levels closes."""
+def plain_pattern(options: IngestOptions) -> str:
+    """Values that the patterns read to their end: every literal and every parenthesis
+    is closed, and none is nested too deep."""
     literal = literal_pattern(options)
-    inner = _tuple(literal, NESTING - 1)
-    outer = rf"""\((?:[^()'"]++|{literal}|{inner})*+\)"""
-    passed = rf"""\A(?:[^()'"]++|{literal}|{outer}|['"])*+"""
-    return rf"""{passed}\((?:[^()'"]++|{literal}|{inner})*+\("""
+    return rf"""\A(?:[^()'"]++|{literal}|{_tuple(literal, NESTING)})*+\z"""
+
+
+def token_pattern(options: IngestOptions, commas: bool) -> str:
+    """Literals, parentheses, commas on request, and what is between them. A literal
+    that is never closed takes the rest."""
+    cut = "," if commas else ""
+    return rf"""{literal_pattern(options)}|[(){cut}]|[^(){cut}'"]++|['"][\s\S]*+"""
 
 
 def item_pattern(options: IngestOptions) -> str:
@@ -81,3 +96,26 @@ def item_pattern(options: IngestOptions) -> str:
     literal = literal_pattern(options)
     nested = _tuple(literal, NESTING - 1)
     return rf"""\G,((?:[^,()'"]++|{literal}|{nested})*+)"""
+
+
+def closing_patterns(options: IngestOptions) -> dict[str, str]:
+    """From inside a literal of each kind, up to its end; group 1 is what follows."""
+    if not options.mixed_quotes:
+        return {"any": r"""\A(?:[^'"]++|(?<=\\)['"])*+['"]([\s\S]*+)"""}
+    found = {}
+    for kind in ("single", "double"):
+        quote = QUOTES[kind]
+        if options.backslash_escapes:
+            body = rf"[^{quote}\\]++|{quote}{quote}|\\(?:[\s\S]|\z)"
+        else:
+            body = rf"[^{quote}]++|{quote}{quote}"
+        found[kind] = rf"\A(?:{body})*+{quote}([\s\S]*+)"
+    return found
+
+
+def closed_prefix(options: IngestOptions, without: str = "") -> str:
+    """Text and closed literals from the start; group 1 is what follows. Quotes of the
+    kind ``without`` are signs like any other."""
+    held = {kind: p for kind, p in literals(options).items() if kind != without}
+    signs = "".join(QUOTES[kind] for kind in held)
+    return rf"\A(?:[^{signs}]++|{'|'.join(held.values())})*+([\s\S]*+)"

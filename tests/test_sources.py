@@ -1,15 +1,11 @@
 import io
 import zipfile
 
-import pytest
-
 from sparkrecon.options import IngestOptions
 from sparkrecon.sources.dumps import (
     ingest_directory,
     ingest_files,
-    parse_statements,
     rejected_files,
-    statements_of_text,
     unreadable_documents,
 )
 
@@ -84,8 +80,8 @@ def test_large_files_are_split_on_their_own(spark, tmp_path):
     options = IngestOptions(whole_file_bytes=1000)
     got = tables(ingest_directory(spark, str(tmp_path), options))
     assert got == tables(ingest_directory(spark, str(tmp_path))) and len(got) == 201
-    with pytest.raises(ValueError, match="big.sql"):
-        ingest_directory(spark, str(tmp_path), IngestOptions(whole_file_bytes=1000, quote_aware=True))
+    aware = IngestOptions(whole_file_bytes=1000, quote_aware=True)
+    assert tables(ingest_directory(spark, str(tmp_path), aware)) == got
 
 
 def test_empty_directory(spark, tmp_path):
@@ -121,15 +117,3 @@ def test_whole_and_split_readers_agree(spark, tmp_path):
         [("my dump+1", "2"), ("my dump+1", "é"), ("x[1]", "é"), ("tail", "2"), ("tail", "é"),
          ("latin", "2"), ("latin", latin), ("latin", "4")]
     )
-
-
-def test_depth_of_nesting(spark):
-    """Up to the limit a tuple is read as it stands, beyond it the statement is rejected."""
-    for depth, reason in ((1, None), (16, None), (40, None), (63, None), (64, "nested_too_deep"), (90, "nested_too_deep")):
-        inner = "(" * depth + "1" + ")" * depth
-        text = f"INSERT INTO t VALUES (7, {inner}), (8, 'x');"
-        frame = spark.createDataFrame([("p.sql", text)], "path string, content string")
-        rows = parse_statements(statements_of_text(frame)).select("values", "reason").collect()
-        assert {r["reason"] for r in rows} == {reason}, depth
-        if reason is None:
-            assert [r["values"] for r in rows] == [["7", inner], ["8", "x"]]
