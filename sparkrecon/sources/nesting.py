@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkrecon.functions.rows import let
 
 #: Tokens of a block.
-BLOCK = 256
+BLOCK = 64
 #: A sign that no text should hold; if one does, it is written as ``SIGN + "0"``.
 SIGN = "﷐"
 BEGIN, END, CUT = f"{SIGN}1", f"{SIGN}2", f"{SIGN}3"
