@@ -3,11 +3,21 @@
 Two front ends share one core. The *typed* form takes two DataFrames and
 compares column by column inside code generation; the *long* form takes rows of
 any number of tables as maps and compares field by field. Both bring a side into
-the frame ``(keys..., r)`` or ``(keys..., o, r)`` - key columns, order and row -
-and then reduce one side to a row per key and join the other side to it.
+the frame ``(keys..., r)`` or ``(keys..., o, r)`` - key columns, order and row.
 
-``indexed``      reduce the source (last row of a key wins), keep the destination
-``first_match``  reduce the destination (first row of a key wins), keep the source
+One side has a winner per key, which every row of the other side meets:
+
+``indexed``      the last source row of a key; destination rows meet it
+``first_match``  the first destination row of a key; source rows meet it
+
+Both sides go through one exchange, by key, and are sorted once: a key's winner stands
+first, the other rows of its side after it, then the rows that meet it. So one pass
+classifies the rows of both sides, extras and missing rows included, and counts them.
+
+Two kinds of rows take another way, by joins with winners from partial aggregation.
+Winners of keys with very many rows are shipped to the rows, which do not move. And
+``indexed`` on two DataFrames needs no more than one join, which stays inside code
+generation.
 """
 
 from __future__ import annotations
@@ -18,6 +28,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sparkrecon.functions.rows import (
     META_COLUMNS,
@@ -28,7 +39,15 @@ from sparkrecon.functions.rows import (
 )
 from sparkrecon.functions.text import norm_key, strip_text, text_or_token
 from sparkrecon.operators.rollup import cap_rows
-from sparkrecon.operators.skew import find_hot, join_one, lookup_join, repeat_rows, union_all
+from sparkrecon.operators.skew import (
+    HOT_LIMIT,
+    find_hot,
+    join_one,
+    key_signature,
+    lookup_join,
+    repeat_rows,
+    union_all,
+)
 from sparkrecon.options import INDEXED, ReconOptions
 
 STATUSES = ("match", "different", "missing", "extra")
@@ -47,7 +66,10 @@ COUNTS = (
 
 @dataclass(frozen=True)
 class Pair:
-    """Two sides in core form, and how their rows are compared and shown."""
+    """Two sides in core form, and how their rows are compared and shown.
+
+    ``loose`` holds both sides with the rows that lack a key (``keyed`` is false there):
+    they are counted, but take no part."""
 
     source: DataFrame
     destination: DataFrame
@@ -57,6 +79,7 @@ class Pair:
     present: Callable[[DataFrame], DataFrame]
     options: ReconOptions
     groups: tuple[str, ...] = ()
+    loose: tuple[DataFrame, DataFrame] | None = None
 
 
 def _check_columns(src: DataFrame, dst: DataFrame, key: str) -> None:
@@ -215,9 +238,13 @@ def long_pair(
         value = F.try_element_at("row", F.col("key_column"))
         key = norm_key(value, options.null_token) if strip else text_or_token(value, options.null_token)
         has_key = F.map_contains_key(F.col("row"), F.col("key_column"))
-        return df.where(has_key).select(
-            F.col("table"), key.alias("k"), F.col("ord").alias("o"), F.col("row").alias("r")
-        )
+        # Rows without a key are dealt evenly.
+        spread = F.xxhash64("ord").cast("string")
+        return df.select(
+            F.col("table"), F.when(has_key, key).otherwise(spread).alias("k"),
+            F.col("ord").alias("o"), F.when(has_key, F.col("row")).alias("r"),
+            has_key.alias("keyed"),
+        )
 
     token = None if strip else options.null_token
     s, d = map_text(F.col("s"), token, strip), map_text(F.col("d"), token, strip)
@@ -234,9 +261,10 @@ def long_pair(
             differences=diff,
         )
 
+    loose = core(source), core(destination)
     return Pair(
-        core(source), core(destination), ("table", "k"), True,
-        F.size(diff) == 0, present, options, ("table",),
+        *[side.where("keyed").drop("keyed") for side in loose], ("table", "k"), True,
+        F.size(diff) == 0, present, options, ("table",), loose,
     )
 
 
@@ -352,8 +380,78 @@ def _hashable(kind: T.DataType) -> bool:
     return isinstance(kind, T.MapType) or _orderable(kind)
 
 
-def classified(pair: Pair) -> DataFrame:
-    """``(keys, s, d, status)``, one row per classified row."""
+def _together(pair: Pair) -> DataFrame:
+    """``(keys, from_source, s, d, status)``, a row for each row of both sides in one
+    exchange and one sort. Rows without a class of their own have no status: winners that
+    were met and the rows behind a winner, but for those of ``first_match``, which are
+    extra."""
+    indexed, keys = pair.options.mode == INDEXED, [*pair.keys, "keyed"]
+    sides = pair.loose or [side.withColumn("keyed", F.lit(True)) for side in (pair.source, pair.destination)]
+    types = [side.schema["r"].dataType for side in sides]
+    order = sides[0 if indexed else 1]
+
+    def side(which: int) -> DataFrame:
+        rows, meets = sides[which], which == (1 if indexed else 0)
+        held = [F.lit(None).cast(types[0]).alias("s"), F.lit(None).cast(types[1]).alias("d")]
+        held[which] = F.col("r").alias("sd"[which])
+        place = []
+        if "o" in order.columns:
+            kind = order.schema["o"].dataType
+            place = [(F.lit(None).cast(kind) if meets else F.col("o")).alias("o")]
+        return rows.select(*keys, F.lit(which == 0).alias("from_source"), F.lit(meets).alias("meets"), *place, *held)
+
+    ties = [c for c in ("o",) if c in order.columns]
+    ties += [] if pair.ordered else ["s" if indexed else "d"]
+    by = [F.col(c).desc() if indexed else F.col(c).asc() for c in ties]
+    rows = Window.partitionBy(*keys).orderBy(F.col("meets"), *by)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mine, other = ("s", "d") if indexed else ("d", "s")
+    found = side(0).unionByName(side(1)).select(
+        "*",
+        F.first(F.when(~F.col("meets"), F.col(mine))).over(so_far).alias("winner"),
+        (F.row_number().over(rows) == 1).alias("wins"),
+        F.last("meets").over(whole).alias("is_met"),
+    )
+    met = F.when(F.col("meets"), F.col("winner")).otherwise(F.col(mine))
+    found = found.withColumn(mine, met)
+    unmet = F.col("s").isNull() | F.col("d").isNull()
+    if indexed:
+        lone = F.when(F.col("wins") & ~F.col("is_met"), "missing")
+    else:
+        lone = F.when(~(F.col("wins") & F.col("is_met")), "extra")
+    status = F.when(
+        F.col("meets"),
+        F.when(unmet, "extra" if indexed else "missing").when(pair.equal, "match").otherwise("different"),
+    ).otherwise(lone)
+    return found.select(*keys, "from_source", "s", "d", F.when(F.col("keyed"), status).alias("status"))
+
+
+def _parted(pair: Pair) -> tuple[Pair | None, Pair | None]:
+    """The pair of the rows that go through one exchange, and the pair of those that
+    are joined: rows of hot keys, or all, if there may be more hot keys than are known
+    or one join is all it takes."""
+    if pair.options.mode == INDEXED and not pair.loose:
+        return None, pair
+    keys = list(pair.keys)
+    both = pair.source.select(*keys).unionByName(pair.destination.select(*keys))
+    hot = find_hot(both, keys, pair.options)
+    if not hot:
+        return pair, None
+    if len(hot) >= HOT_LIMIT:
+        return None, pair
+    is_hot = F.coalesce(key_signature(keys).isin(*hot), F.lit(False))
+
+    def only(condition: Column, loose: bool) -> Pair:
+        held = pair.loose and tuple(side.where(~F.col("keyed") | condition) for side in pair.loose)
+        source, destination = (side.where(condition) for side in (pair.source, pair.destination))
+        return replace(pair, source=source, destination=destination, loose=held if loose else None)
+
+    return only(~is_hot, True), only(is_hot, False)
+
+
+def _joined(pair: Pair) -> DataFrame:
+    """``(keys, s, d, status)`` by joins, for hot keys."""
     if pair.options.mode == INDEXED:
         return _classify(union_all(_indexed_parts(pair)), pair)
     matched = _classify(union_all(_first_match_parts(pair)), pair)
@@ -364,6 +462,18 @@ def classified(pair: Pair) -> DataFrame:
     )
 
 
+def classified(pair: Pair) -> DataFrame:
+    """``(keys, s, d, status)``, one row per classified row."""
+    cold, hot = _parted(pair)
+    parts = []
+    if cold is not None:
+        rows = _together(cold).where(F.col("status").isNotNull())
+        parts.append(rows.select(*pair.keys, "s", "d", "status"))
+    if hot is not None:
+        parts.append(_joined(hot).select(*pair.keys, "s", "d", "status"))
+    return union_all(parts)
+
+
 # --------------------------------------------------------------------------- counts
 
 
@@ -404,42 +514,44 @@ def _first_match_counts(pair: Pair) -> list[DataFrame]:
     return parts
 
 
-def count_pair(
-    pair: Pair,
-    source_rows: DataFrame | None = None,
-    destination_rows: DataFrame | None = None,
-) -> DataFrame:
-    """Counts of a pair, one row per group.
+def _counted(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``(groups, kind, n)``: the rows of :func:`_together` by side and by status."""
+    counts = rows.groupBy(*groups, "from_source", "status").agg(F.count("*").alias("n"))
+    side = F.when(F.col("from_source"), "source").otherwise("destination")
+    kinds = F.array(
+        F.struct(side.alias("kind"), F.col("n")), F.struct(F.col("status").alias("kind"), F.col("n"))
+    )
+    return counts.select(*groups, F.inline(kinds)).where(F.col("kind").isNotNull())
+
 
-    The raw row counts of a side are taken from the frame given for it; for a
-    side without one they are the sum of its classes, all of whose rows the
-    reconciliation has seen anyway."""
+def count_pair(pair: Pair) -> DataFrame:
+    """Counts of a pair, one row per group, from the rows as they are classified: each
+    side is read once, and its rows without a key are counted on the way."""
     groups = list(pair.groups)
+    cold, hot = _parted(pair)
+    parts = []
+    if cold is not None:
+        parts.append(_counted(_together(cold), groups))
     indexed = pair.options.mode == INDEXED
-    parts = _indexed_counts(pair) if indexed else _first_match_counts(pair)
-    if source_rows is not None:
-        parts.append(_rows_of(source_rows, groups, "source"))
-    if destination_rows is not None:
-        parts.append(_rows_of(destination_rows, groups, "destination"))
-
-    def total(name: str, *kinds: str) -> Column:
-        held = ", ".join(f"'{k}'" for k in kinds)
+    kinds = {name: [kind] for name, kind in zip(COUNTS, ("source", "destination", *STATUSES))}
+    if hot is not None:
+        raw = dict(zip(COUNTS, hot.loose or (hot.source, hot.destination)))
+        if cold is None and not pair.loose:
+            # All rows of the side that meets the winners have a class.
+            del raw[COUNTS[1 if indexed else 0]]
+            kinds[COUNTS[1 if indexed else 0]] = ["match", "different", "extra" if indexed else "missing"]
+        parts += [_rows_of(side, groups, *kinds[name]) for name, side in raw.items()]
+        if indexed:
+            parts += _indexed_counts(hot)
+        else:
+            # All destination rows but those that were met, which are counted as less.
+            parts += [*_first_match_counts(hot), _rows_of(hot.destination, groups, "extra")]
+
+    def total(name: str) -> Column:
+        held = ", ".join(f"'{kind}'" for kind in kinds[name])
         return F.expr(f"coalesce(sum(n) FILTER (WHERE kind IN ({held})), 0L) AS {name}")
 
-    source = ("source",) if source_rows is not None else ("match", "different", "missing")
-    destination = ("destination",) if destination_rows is not None else ("match", "different", "extra")
-    classes = {c: (c,) for c in STATUSES}
-    if not indexed:
-        # Rows without a key, which only the long form has, are not extra.
-        keyed = "destination" if not groups else "keyed"
-        classes["extra"] = ("extra", keyed)
-        if groups:
-            parts.append(_rows_of(pair.destination, groups, keyed))
-    counts = union_all(parts).groupBy(*groups).agg(
-        total(COUNTS[0], *source),
-        total(COUNTS[1], *destination),
-        *[total(name, *classes[status]) for status, name in zip(STATUSES, COUNTS[2:])],
-    )
+    counts = union_all(parts).groupBy(*groups).agg(*[total(name) for name in COUNTS])
     if pair.options.compat_empty_side:
         both = "rows_in_source > 0 AND rows_in_destination > 0"
         counts = counts.selectExpr(
@@ -541,9 +653,7 @@ def reconcile_summary(
         pair = _digest_pair(src, dst, key, order_by, options)
     else:
         pair = typed_pair(src, dst, key, order_by, options)
-    # The side reduced to a row per key is counted as it was.
-    raw = {"source_rows": src} if options.mode == INDEXED else {"destination_rows": dst}
-    return with_flags(count_pair(pair, **raw)).select(F.lit(table).alias("table"), "*")
+    return with_flags(count_pair(pair)).select(F.lit(table).alias("table"), "*")
 
 
 def reconcile_tables(
@@ -584,8 +694,4 @@ def reconcile_rows_summary(
     source: DataFrame, destination: DataFrame, options: ReconOptions = ReconOptions()
 ) -> DataFrame:
     """Summary rows of all tables of two long frames in one job."""
-    pair = long_pair(source, destination, options)
-    counts = count_pair(
-        pair, source_rows=source.select("table"), destination_rows=destination.select("table")
-    )
-    return with_flags(counts)
+    return with_flags(count_pair(long_pair(source, destination, options)))

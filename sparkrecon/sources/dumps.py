@@ -12,10 +12,11 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -323,10 +324,11 @@ def _tuples(values: Column, marked: Column, dialect: Column, options: IngestOpti
     )
 
 
-def parse_statements(
-    statements: DataFrame, options: IngestOptions = IngestOptions()
-) -> DataFrame:
-    """One row per VALUES tuple, with ``reason`` set where it is not a table row."""
+@lru_cache(maxsize=8)
+def _reading(options: IngestOptions, gateway: int) -> tuple[list[Column], Column, Column, Column]:
+    """Expressions over statements: their heads and tuples, generic column names, all
+    tuples with an unclosed one, and entries of tuples and texts. Putting them together
+    takes longer than planning a query with them, so they are kept."""
     stmt, dialect = F.col("statement"), F.col("dialect")
     schema = F.regexp_extract(stmt, P.TARGET, 1)
     table = F.regexp_extract(stmt, P.TARGET, 2)
@@ -339,22 +341,22 @@ def parse_statements(
         F.length(stmt) > RAW_LENGTH, F.concat(F.left(stmt, F.lit(RAW_LENGTH)), F.lit("..."))
     ).otherwise(stmt)
 
-    values = F.regexp_extract(stmt, section, 1)
-    odd = (dialect != "docx") & ~values.rlike(P.plain_pattern(options))
-    marked = F.when(odd, nesting.marked(values, P.token_pattern(options, commas=False)))
+    def read(values: Column) -> Column:
+        odd = (dialect != "docx") & ~values.rlike(P.plain_pattern(options))
+        marked = F.when(odd, nesting.marked(values, P.token_pattern(options, commas=False)))
+        return let(marked, lambda m: F.struct(
+            _tuples(values, m, dialect, options).alias("tuples"),
+            F.coalesce(nesting.has_open_group(m), F.lit(False)).alias("open"),
+        ))
 
-    heads = statements.withColumn("marked", marked).select(
+    columns = [
         F.coalesce(F.nullif(schema, F.lit("")), file_stem(F.col("path"))).alias("schema"),
         F.nullif(table, F.lit("")).alias("table"),
         F.when(listed != "", names).alias("listed"),
-        _tuples(values, F.col("marked"), dialect, options).alias("tuples"),
-        F.coalesce(nesting.has_open_group(F.col("marked")), F.lit(False)).alias("open"),
+        let(F.regexp_extract(stmt, section, 1), read).alias("read"),
         F.when(dialect == "docx", stmt).otherwise(short).alias("raw_statement"),
-        "statement",
-        "path",
-        "block",
-        "stmt",
-    )
+        *[F.col(c) for c in ("statement", "path", "block", "stmt")],
+    ]
     width = F.size(F.get("tuples", F.lit(0)))
     generic = F.when(
         width > 0,
@@ -362,13 +364,23 @@ def parse_statements(
             F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("column_"), i.cast("string"))
         ),
     )
-    # Named before the tuples are taken apart, so no tuple carries all the others.
-    named = heads.withColumn("columns", F.coalesce("listed", generic)).drop("listed")
     # A tuple that is never closed comes last, as null.
     unclosed = F.array(F.lit(None).cast("array<string>"))
     found = F.when(F.col("open"), F.concat("tuples", unclosed)).otherwise(F.col("tuples"))
     kept = F.when(F.col("table").isNotNull(), F.size("columns"))
     entries = let(kept, lambda n: let(found, lambda t: _entries(t, n, F.col("statement"))))
+    return columns, generic, found, entries
+
+
+def parse_statements(
+    statements: DataFrame, options: IngestOptions = IngestOptions()
+) -> DataFrame:
+    """One row per VALUES tuple, with ``reason`` set where it is not a table row."""
+    columns, generic, found, entries = _reading(options, id(SparkContext._gateway))
+    heads = statements.select(*columns)
+    heads = heads.withColumns({"tuples": F.col("read.tuples"), "open": F.col("read.open")}).drop("read")
+    # Named before the tuples are taken apart, so no tuple carries all the others.
+    named = heads.withColumn("columns", F.coalesce("listed", generic)).drop("listed")
     tuples = named.select(
         "schema",
         "table",

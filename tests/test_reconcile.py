@@ -247,3 +247,40 @@ def test_hot_keys_and_copies(spark):
     assert hot_keys(two, ["t", "k"], 50) == ["1:thot"]
     many = spark.createDataFrame([("a", 25_001), ("b", 0), ("c", 1)], "x string, n long")
     assert {r["x"]: r["count"] for r in repeat_rows(many, "n").groupBy("x").count().collect()} == {"a": 25_001, "c": 1}
+
+
+def _nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {n: plan.count(n) for n in ("Exchange hashpartitioning(k", "FileScan", "SortAggregate")}
+
+
+def test_one_exchange_for_both_sides(spark, tmp_path):
+    """``first_match`` reads and shuffles each side once, counts and extras included."""
+    rows = [(i % 50, f"v{i % 7}") for i in range(300)]
+    for name in ("s", "d"):
+        spark.createDataFrame(rows, "k long, v string").write.parquet(str(tmp_path / name))
+    src, dst = (spark.read.parquet(str(tmp_path / n)) for n in ("s", "d"))
+    options = ReconOptions(mode="first_match", skew="never")
+    for found in (
+        reconcile(src, dst, "k", options=options),
+        reconcile_summary(src, dst, "t", "k", options=options),
+    ):
+        nodes = _nodes(found)
+        assert nodes["FileScan"] == 2 and nodes["SortAggregate"] == 0
+        assert nodes["Exchange hashpartitioning(k"] == 1
+
+
+def test_long_counts_read_each_side_once(spark, tmp_path):
+    rows = [("t" if i % 2 else "u", "k", i, {"k": str(i % 9), "v": "x"} if i % 5 else {"v": "x"}) for i in range(200)]
+    schema = "`table` string, key_column string, ord long, row map<string,string>"
+    for name in ("s", "d"):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    src, dst = (spark.read.parquet(str(tmp_path / n)) for n in ("s", "d"))
+    for mode in ("indexed", "first_match"):
+        found = reconcile_rows_summary(src, dst, ReconOptions(mode=mode, skew="never"))
+        assert _nodes(found)["FileScan"] == 2
+        # Rows without the key field are counted, but have no class.
+        assert {r["rows_in_source"] for r in found.collect()} == {100}
+        for r in found.collect():
+            classes = sum(r[c] for c in ("matching_rows", "different_rows", "missing_rows"))
+            assert classes == (80 if mode == "first_match" else r["matching_rows"])
