@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkrecon.llm.common import free_name
+from sparkrecon.llm.common import free_name, staged
 
 #: Most labelled texts that are fitted, and the least of them that hold a term.
 SAMPLE_TEXTS, LEAST_TEXTS = 12_000, 3
@@ -141,34 +141,54 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Factoriza
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for text in batch.column("text").to_pylist():
-            terms = {t for word in words_of(text) for t in terms_of(word)}
+        for text in batch.column("text"):
+            terms = {t for word in words_of(text.as_py()) for t in terms_of(word)}
             found.append(np.array(sorted(terms), np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "terms"]
+            [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())],
+            ["doc_id", "toxic", "terms"],
         )
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine fitted on all rows of a task, as one row."""
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    rows.sort(key=lambda r: (r[1], r[0]))
+    found = fit(
+        [np.frombuffer(terms, np.uint32) for _, terms in rows],
+        np.array([float(toxic > 0) for toxic, _ in rows]),
+    )
+    arrays = [found.terms.astype("<u4"), found.weights.astype("<f8"), found.factors.astype("<f8")]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([found.bias]), *(pa.array([a.tobytes()]) for a in arrays)],
+        ["bias", "terms", "weights", "factors"],
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> FactorizationMachine:
     """Fit on at most ``sample`` labelled documents, those of lowest hashed id.
 
     Labels of held-out ids are not read. Of several labels of one id the highest
-    counts; null labels and ids are none. The sample's ids are broadcast, so the
-    texts do not shuffle."""
+    counts, of several texts the one whose terms come first; null labels and ids are
+    none, and empty tables or one label only give a constant score. The sample's ids are
+    broadcast, so the texts do not shuffle; the terms of the sample are written, and one
+    task fits them. The driver receives the machine alone."""
     known = labels.where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("toxic", "text")
-        .mapInArrow(_hashed, "toxic int, terms binary")
-        .limit(2 * sample)  # more only if ids repeat
-        .collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    terms = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
+        _hashed, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, toxic int, terms binary"
     )
-    rows.sort(key=lambda r: (r.terms, r.toxic))
-    texts = [np.frombuffer(r.terms, np.uint32) for r in rows]
-    return fit(texts, np.array([float(r.toxic > 0) for r in rows]))
+    once = staged(terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")))
+    kind = "bias double, terms binary, weights binary, factors binary"
+    row = once.select("toxic", "terms").coalesce(1).mapInArrow(_fitted, kind).first()
+    if row is None:
+        return fit([], np.empty(0))
+    return FactorizationMachine(
+        np.frombuffer(row["terms"], "<u4"), row["bias"], np.frombuffer(row["weights"], "<f8"),
+        np.frombuffer(row["factors"], "<f8").reshape(-1, FACTORS),
+    )
 
 
 def with_score(
