@@ -236,8 +236,9 @@ VALIDATED = checked(
 COMPARED = f"{VALIDATED} UNION ALL {checked('customer', CUSTOMER_DST, {})}"
 
 STORED = """SELECT 'docs_labels_' || doc_id AS id, 'f' || doc_id % 7 AS file_id, quality AS value FROM labels"""
-FRESH = """SELECT 'docs_labels_' || (doc_id + 1) AS id, 'f' || doc_id % 3 AS file_id, toxic AS value
-  FROM labels WHERE doc_id % 2 = 0"""
+FRESH_NUMBERED = """SELECT doc_id, 'docs_labels_' || (doc_id + 1) AS id, 'f' || doc_id % 3 AS file_id,
+  toxic AS value FROM labels WHERE doc_id % 2 = 0"""
+FRESH = f"SELECT * EXCLUDE (doc_id) FROM ({FRESH_NUMBERED})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -439,6 +440,14 @@ def oracle_sql() -> dict[str, str]:
           (SELECT file_id FROM ({FRESH}))) SELECT * FROM kept UNION ALL SELECT * FROM ({FRESH})
           WHERE id NOT IN (SELECT id FROM kept)""",
         "chunk_append_new": f"""SELECT * FROM ({FRESH}) WHERE id NOT IN (SELECT id FROM ({STORED}))""",
+        "chunk_store": f"""WITH new AS (SELECT * EXCLUDE (doc_id) REPLACE (CASE WHEN doc_id % 8 = 0 THEN NULL
+          ELSE file_id END AS file_id) FROM ({FRESH_NUMBERED})), kept AS (SELECT * FROM ({STORED})
+          WHERE file_id NOT IN (SELECT file_id FROM new WHERE file_id IS NOT NULL))
+          SELECT 'first' AS state, * FROM ({STORED}) UNION ALL SELECT 'last', * FROM kept
+          UNION ALL SELECT 'last', * FROM new WHERE id NOT IN (SELECT id FROM kept)""",
+        # A vector has length one if the text holds a letter, digit or sign of words, else zero.
+        "embed_rows": """SELECT doc_id, 256 AS size, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]')
+          THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
         "report_catalog": f"""SELECT id AS report_id, ts AS "timestamp", 'one' AS source_schema,
           'two' AS destination_schema, total_tables AS tables_compared, total_rows_source AS total_rows,
           total_matching_rows AS matching_rows, total_different_rows AS different_rows,

@@ -721,6 +721,26 @@ def chunk_append_new(spark, sf):
     return chunks.append_new(*_stores(spark, sf)).select("id", "metadata.file_id", "value")
 
 
+def chunk_store(spark, sf):
+    """Two versions of a store: as first written, and after a batch that replaces files
+    and appends chunks of no file came twice, a write died, and the rest was compacted."""
+    store = chunks.ChunkStore(spark, f"{stage_folder(spark)}/chunks-{uuid.uuid4()}")
+    old, new = _stores(spark, sf)
+    # The number of a chunk is that of its label plus one.
+    loose = F.when(F.col("metadata.row_id") % 8 != 1, F.col("metadata.file_id"))
+    new = new.withColumn("metadata", F.col("metadata").withField("file_id", loose))
+    first = store.write(old)
+    store.write(new)
+    store.write(new)
+    died = f"{store.path}/data/{store.versions()[-1] + 1:08d}-died/filed"
+    new.withColumn("_version", F.lit(4)).write.parquet(died)
+    last = store.compact()
+    rows = union_all(
+        [store.read(v).withColumn("state", F.lit(s)) for v, s in ((first, "first"), (last, "last"))]
+    )
+    return rows.select("state", "id", "metadata.file_id", "value")
+
+
 def embed_rows(spark, sf):
     texts = pairs.load(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     vectors = chunks.hashed_embeddings(texts)
@@ -842,6 +862,7 @@ def queries() -> dict[str, Query]:
         "chunk_positions": chunk_positions,
         "chunk_upsert_by_file": chunk_upsert_by_file,
         "chunk_append_new": chunk_append_new,
+        "chunk_store": chunk_store,
         "embed_rows": embed_rows,
         "report_catalog": report_catalog,
         "report_lookup": report_lookup,

@@ -1,6 +1,7 @@
 import json
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkrecon import ReconOptions, RunOptions, run
@@ -111,6 +112,58 @@ def test_store_replaces_files_and_keeps_ids(spark, tmp_path):
     assert merged == {("1", "new"), ("3", "c"), ("4", "d")}
 
 
+def test_store_versions(spark, tmp_path):
+    store = chunks.ChunkStore(spark, str(tmp_path / "store"))
+    first = [("1", "a", "f"), ("2", "b", "g"), ("3", "c", None)]
+    assert store.write(store_frame(spark, first)) == 1
+    # One write replaces a file and appends: its plain chunk 1 gives way to the file's.
+    assert store.write(store_frame(spark, [("1", "n", "f"), ("1", "p", None), ("4", "d", None)])) == 2
+
+    def held(version=None):
+        return sorted((r["id"], r["content"], r["metadata"]["file_id"]) for r in store.read(version).collect())
+
+    second = [("1", "n", "f"), ("2", "b", "g"), ("3", "c", None), ("4", "d", None)]
+    assert (held(), held(1), store.versions()) == (second, first, [1, 2])
+    with pytest.raises(ValueError, match="no version 7"):
+        store.read(7)
+
+    # A write that dies before it commits, whatever it wrote, changes nothing.
+    def dies(*_):
+        raise OSError("lost")
+
+    broken = chunks.ChunkStore(spark, store.path)
+    broken._commit = dies
+    with pytest.raises(OSError):
+        broken.write(store_frame(spark, [("9", "x", "f")]))
+    assert (held(), store.versions()) == (second, [1, 2])
+
+    # Of two writes that start from one version the later fails and is repeated.
+    late = chunks.ChunkStore(spark, store.path)
+    commit = late._commit
+
+    def overtaken(*args):
+        store.write(store_frame(spark, [("5", "e", None)]))
+        return commit(*args)
+
+    late._commit = overtaken
+    with pytest.raises(RuntimeError, match="by another"):
+        late.write(store_frame(spark, [("6", "f", None)]))
+    third = [*second, ("5", "e", None)]
+    assert (held(), store.versions()) == (third, [1, 2, 3])
+
+    # Wider chunks widen the store; older ones hold nulls.
+    wide = store_frame(spark, [("7", "w", "g")]).withColumn("note", F.lit("n"))
+    assert store.write(wide) == 4
+    noted = {r["id"]: r["note"] for r in store.read().collect()}
+    assert noted == {"1": None, "3": None, "4": None, "5": None, "7": "n"}
+    before = held()
+    assert store.compact() == 5 and held() == before
+    store.expire()
+    assert (held(), store.versions()) == (before, [5])
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 1
+    assert store.write(store_frame(spark, [])) == 6 and held() == before
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([("a b a",), ("",)], "content string")
     rows = chunks.hashed_embeddings(df, size=16).collect()
