@@ -271,8 +271,7 @@ def detect_primary_key(spark, sf):
         "lineitem": pairs.lineitem(spark, sf),
         "nation": pairs.nation(spark, sf),
     }
-    found = [(name, keys.detect_primary_key(df)) for name, df in frames.items()]
-    return spark.createDataFrame(found, "`table` string, primary_key string")
+    return keys.detect_primary_keys(frames)
 
 
 def column_uniqueness(spark, sf):

@@ -135,6 +135,29 @@ def test_key_by_name(spark, source, destination, key, shown):
     assert one(spark, keys.display_key_of(F.col("s")), s=(source, kind)) == shown
 
 
+def test_detect_primary_keys(spark):
+    zeros = spark.createDataFrame([(0.0, [1], b"a"), (-0.0, [2], b"b")], "z double, a array<int>, b binary")
+    nested = spark.createDataFrame([("a, b", "c"), ("a", "b, c")], "x string, y string").select(
+        F.struct("x", "y").alias("pair")
+    )
+    tables = {
+        "zeros": zeros,
+        "binary": zeros.select("z", "b"),
+        "nested": nested,
+        "held": spark.createDataFrame([(1, None), (2, 3)], "some int, id int"),
+        "none": spark.createDataFrame([(1, 1), (1, 1)], "a int, b int"),
+        "empty": spark.createDataFrame([], "a int, b_id int"),
+        "marks": spark.createDataFrame([("s", "t")], "__schema__ string, __table__ string"),
+        # Past the sketch, yet not unique: one value twice among many.
+        "nearly": spark.range(50_000).selectExpr("greatest(id, 1) AS row_id", "id AS n", "id % 7 AS `odd.name`"),
+    }
+    got = {r["table"]: r["primary_key"] for r in keys.detect_primary_keys(tables).collect()}
+    assert got == {
+        "zeros": "a", "binary": "b", "nested": "pair", "held": "some", "none": None,
+        "empty": "b_id", "marks": None, "nearly": "n",
+    }
+
+
 def test_detect_primary_key(spark):
     df = spark.range(5000).selectExpr("id % 10 AS some_id", "id AS n", "if(id = 3, NULL, id) AS other_id", "cast(id AS string) AS row_id")
     assert keys.detect_primary_key(df) == "row_id"
