@@ -3,6 +3,7 @@
 from sparkrecon.operators.reconcile import (
     reconcile,
     reconcile_rows,
+    reconcile_rows_once,
     reconcile_rows_summary,
     reconcile_summary,
     reconcile_tables,
@@ -20,6 +21,7 @@ __all__ = [
     "reconcile",
     "reconcile_inserts",
     "reconcile_rows",
+    "reconcile_rows_once",
     "reconcile_rows_summary",
     "reconcile_summary",
     "reconcile_tables",

@@ -48,6 +48,7 @@ from sparkrecon.operators.skew import (
     repeat_rows,
     union_all,
 )
+from sparkrecon.operators.stage import staged
 from sparkrecon.options import INDEXED, ReconOptions
 
 STATUSES = ("match", "different", "missing", "extra")
@@ -59,6 +60,7 @@ COUNTS = (
     "missing_rows",
     "extra_rows",
 )
+KINDS = {name: (kind,) for name, kind in zip(COUNTS, ("source", "destination", *STATUSES))}
 
 
 # --------------------------------------------------------------------------- sides
@@ -272,7 +274,7 @@ def _present(df, key_text, source, plain, destination, differences) -> DataFrame
     """Detail rows: matching rows without the excluded fields, both sides and
     the differences of different rows, one side of missing and extra rows."""
     status = F.col("status")
-    groups = [F.col("table")] if "table" in df.columns else []
+    groups = [c for c in ("table", "from_source") if c in df.columns]
     return df.select(
         *groups,
         status,
@@ -533,7 +535,7 @@ def count_pair(pair: Pair) -> DataFrame:
     if cold is not None:
         parts.append(_counted(_together(cold), groups))
     indexed = pair.options.mode == INDEXED
-    kinds = {name: [kind] for name, kind in zip(COUNTS, ("source", "destination", *STATUSES))}
+    kinds = dict(KINDS)
     if hot is not None:
         raw = dict(zip(COUNTS, hot.loose or (hot.source, hot.destination)))
         if cold is None and not pair.loose:
@@ -547,6 +549,13 @@ def count_pair(pair: Pair) -> DataFrame:
             # All destination rows but those that were met, which are counted as less.
             parts += [*_first_match_counts(hot), _rows_of(hot.destination, groups, "extra")]
 
+    return _totals(parts, pair, kinds)
+
+
+def _totals(parts: Sequence[DataFrame], pair: Pair, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The counts of each group from parts ``(groups, kind, n)``."""
+    groups = list(pair.groups)
+
     def total(name: str) -> Column:
         held = ", ".join(f"'{kind}'" for kind in kinds[name])
         return F.expr(f"coalesce(sum(n) FILTER (WHERE kind IN ({held})), 0L) AS {name}")
@@ -695,3 +704,33 @@ def reconcile_rows_summary(
 ) -> DataFrame:
     """Summary rows of all tables of two long frames in one job."""
     return with_flags(count_pair(long_pair(source, destination, options)))
+
+
+def reconcile_rows_once(
+    source: DataFrame, destination: DataFrame, options: ReconOptions = ReconOptions()
+) -> tuple[DataFrame, DataFrame]:
+    """``(summary, details)`` of all tables of two long frames from one comparison.
+
+    The rows are classified once and written to the folder for intermediate results,
+    those without a class as a mere mark of their side; counts and details read them
+    from there. The rows of hot keys are counted by class, their sides by one scan."""
+    pair = long_pair(source, destination, options)
+    groups = list(pair.groups)
+    cold, hot = _parted(pair)
+    parts, shown = [], []
+    if cold is not None:
+        rows = staged(pair.present(_together(cold)))
+        parts.append(_counted(rows, groups))
+        shown.append(rows.where("status IS NOT NULL").drop("from_source"))
+    if hot is not None:
+        rows = staged(pair.present(_joined(hot)))
+        parts.append(rows.groupBy(*groups, F.col("status").alias("kind")).agg(F.count("*").alias("n")))
+        sides = hot.loose or (hot.source, hot.destination)
+        parts += [_rows_of(side, groups, kind) for side, kind in zip(sides, ("source", "destination"))]
+        shown.append(rows)
+    summary = with_flags(_totals(parts, pair, KINDS))
+    details = union_all(shown)
+    if options.compat_empty_side:
+        both = summary.where("rows_in_source > 0 AND rows_in_destination > 0").select("table")
+        details = lookup_join(details, both, ["table"], "left_semi", ["key"])
+    return summary, details

@@ -69,6 +69,12 @@ def _equal(names) -> str:
     return " AND ".join(f"s.{c} IS NOT DISTINCT FROM d.{c}" for c in names)
 
 
+def differing(table: str) -> str:
+    """Number of columns that differ between the rows s and d."""
+    parts = [f"CAST(s.{c} IS DISTINCT FROM d.{c} AS INTEGER)" for c in COLUMNS[table]]
+    return f"{' + '.join(parts)} AS fields"
+
+
 def _ranked(sql: str, key: str, names, last: bool) -> str:
     """Rows with their rank within the key, ordered by all columns."""
     way = " DESC" if last else ""
@@ -461,4 +467,14 @@ def oracle_sql() -> dict[str, str]:
           FROM ({summaries(("customer", "supplier"))})""",
         "run_direct": two_tables,
         "run_document": two_tables,
+        "run_file_lists": summaries(),
+        "run_chunks": " UNION ALL ".join(
+            f"""SELECT '{schema}' AS "schema", '{t}' AS "table", count(*) AS chunk_count, count(*) AS ids,
+            count(*) - 1 AS last_row_id FROM ({SIDES[t][i]}) HAVING count(*) > 0"""
+            for t in sorted(KEYS) for i, schema in enumerate(("one", "two"))
+        ),
+        "report_details": " UNION ALL ".join(
+            f"""SELECT '{t}' AS "table", status, key, CASE WHEN status = 'different' THEN fields ELSE 0 END AS fields
+            FROM ({indexed_rows(t, keep=", " + differing(t))})""" for t in sorted(KEYS)
+        ),
     }

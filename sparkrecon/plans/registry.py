@@ -560,10 +560,10 @@ def scan_dump_quoted(spark, sf):
     return to_table(to_rows(ingest_directory(spark, folder, options)), df.columns)
 
 
-def _run_dumps(spark, sf, which: int, schema: str) -> DataFrame:
+def _run_dumps(spark, sf, which: int, schema: str, names=("customer", "supplier")) -> DataFrame:
     texts = []
     for name, both in pairs.typed_tables(spark, sf).items():
-        if name in ("customer", "supplier"):
+        if name in names:
             df = both[which]
             texts.append(_dump(df, f"{schema}.{name}", pairs.KEYS[name], df.columns))
     return union_all(texts)
@@ -579,6 +579,52 @@ def run_direct(spark, sf):
     return run(spark, options).overall
 
 
+def run_file_lists(spark, sf):
+    """Two lists of files with the dumps of five tables in, a summary per table out."""
+    files = [
+        tuple(spark.read.text(_written(spark, _run_dumps(spark, sf, i, s, pairs.KEYS))).inputFiles())
+        for i, s in enumerate(("one", "two"))
+    ]
+    options = RunOptions(
+        schemas=("one", "two"), source_files=files[0], dest_files=files[1],
+        use_direct_comparison=True, run_expectations=False,
+    )
+    return run(spark, options).summary
+
+
+def _whole_run(spark, sf) -> tuple[RunOptions, str]:
+    """A run over nested folders of five tables: rules, chunk store and report."""
+    top = f"{stage_folder(spark)}/run-{uuid.uuid4()}"
+    for i, schema in enumerate(("one", "two")):
+        texts = _run_dumps(spark, sf, i, schema, pairs.KEYS)
+        folder = F.regexp_extract("content", rf"INTO {schema}\.(\w+)", 1).alias("dump")
+        texts.select("content", folder).write.partitionBy("dump").text(f"{top}/dumps/{schema}")
+    options = RunOptions(
+        schemas=("one", "two"), data_directory=f"{top}/dumps", use_direct_comparison=True,
+        report_directory=f"{top}/reports", chunk_store=f"{top}/chunks",
+    )
+    return options, run(spark, options).report_id
+
+
+def report_details(spark, sf):
+    """The detail rows of a whole run over five tables, read back from its report."""
+    options, report_id = _whole_run(spark, sf)
+    rows = ReportStore(spark, options.report_directory).details(report_id)
+    return rows.select(
+        "table", "status", "key", F.coalesce(F.size("differences"), F.lit(0)).alias("fields")
+    )
+
+
+def run_chunks(spark, sf):
+    """The chunks that a whole run over five tables has stored, counted by table."""
+    options, _ = _whole_run(spark, sf)
+    held = chunks.ChunkStore(spark, options.chunk_store).read()
+    return held.groupBy("metadata.schema", "metadata.table").agg(
+        F.count("*").alias("chunk_count"), F.count_distinct("id").alias("ids"),
+        F.max("metadata.row_id").alias("last_row_id"),
+    )
+
+
 def _faulty(spark, sf, schema: str) -> DataFrame:
     """A statement for each customer of three tuples, the second or the last broken."""
     key, name = F.col("c_custkey").cast("string"), _quoted(F.col("c_name"))
@@ -868,4 +914,7 @@ def queries() -> dict[str, Query]:
         "report_documents": report_documents,
         "run_direct": run_direct,
         "run_document": run_document,
+        "run_file_lists": run_file_lists,
+        "run_chunks": run_chunks,
+        "report_details": report_details,
     }

@@ -1,10 +1,11 @@
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrecon import FIRST_MATCH, INDEXED, ReconOptions, reconcile, reconcile_rows, reconcile_rows_summary, reconcile_summary
+from sparkrecon import FIRST_MATCH, INDEXED, ReconOptions, reconcile, reconcile_rows, reconcile_rows_once, reconcile_rows_summary, reconcile_summary
 from sparkrecon.operators import rollup
 from sparkrecon.operators.skew import hot_keys, repeat_rows
 
@@ -206,7 +207,14 @@ def test_long_form(spark, mode, skew):
     ]
     s, d = spark.createDataFrame(src, schema), spark.createDataFrame(dst, schema)
     options = ReconOptions(mode=mode, skew=skew, skew_min_rows=1)
-    details = Counter((r["table"], r["status"]) for r in reconcile_rows(s, d, options).collect())
+    plain = reconcile_rows(s, d, options)
+    details = Counter((r["table"], r["status"]) for r in plain.collect())
+    counts, once = reconcile_rows_once(s, d, options)
+    assert once.columns == plain.columns
+    assert Counter(map(str, once.collect())) == Counter(map(str, plain.collect()))
+    assert sorted(counts.collect()) == sorted(reconcile_rows_summary(s, d, options).collect())
+    none = reconcile_rows_once(s.limit(0), d, replace(options, compat_empty_side=True))
+    assert none[1].isEmpty() and {r["extra_rows"] for r in none[0].collect()} == {0}
     summary = {r["table"]: r for r in reconcile_rows_summary(s, d, options).collect()}
     if mode == INDEXED:
         assert details == {
