@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -380,7 +381,8 @@ def test_packer_keeps_every_id():
 
 
 def test_exact_dedup(spark, edge, none):
-    index = exact_dedup.DigestIndex(spark, "test_digests_a", 4)
+    run = uuid.uuid4().hex
+    index = exact_dedup.DigestIndex(spark, f"test_digests_{run}_a", 4)
     rows = exact_dedup.deduplicate(edge, index).collect()
     fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     assert len(rows) == len(EDGE)
@@ -396,18 +398,27 @@ def test_exact_dedup(spark, edge, none):
     later = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(more, index).collect()}
     assert later == {90: (7, False), 91: (92, False), 92: (92, True)}
     assert index.read().count() == len(sizes) + 1
+    # A batch delivered again keeps nothing, null ids included, and adds nothing.
+    again = exact_dedup.deduplicate(edge.select("doc_id", "text").unionByName(more), index).collect()
+    assert len(again) == len(EDGE) + 3 and not any(r.kept for r in again)
+    assert index.read().count() == len(sizes) + 1
+    # A named batch that is repeated gives the answer of its first run.
+    named = spark.createDataFrame([(93, "other"), (94, "Other"), (95, "new")], "doc_id long, text string")
+    first, retry = (sorted(exact_dedup.deduplicate(named, index, "today").collect()) for _ in range(2))
+    assert first == retry and [r.doc_id for r in first if r.kept] == [94]
+    assert not any(r.kept for r in exact_dedup.deduplicate(named, index, "tomorrow").collect())
     plan = index.fresh(spark.createDataFrame([(b"x", 1, 1)], "digest binary, keep_id long, group_size long"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "SortMergeJoin" in text
-    empty = exact_dedup.DigestIndex(spark, "test_digests_b", 4)
+    empty = exact_dedup.DigestIndex(spark, f"test_digests_{run}_b", 4)
     assert exact_dedup.deduplicate(none, empty).count() == 0
-    third = exact_dedup.DigestIndex(spark, "test_digests_c", 4)
+    third = exact_dedup.DigestIndex(spark, f"test_digests_{run}_c", 4)
     kept = exact_dedup.distinct_rows(edge, third)
     assert kept.columns == edge.columns
     # Id 4 stands for null and empty; of the repeated rows of id 7 one stays.
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [2, 4, 5, 7, 8, 9, 10, 11]
     for name in ("a", "b", "c"):
-        spark.sql(f"DROP TABLE IF EXISTS test_digests_{name}")
+        spark.sql(f"DROP TABLE IF EXISTS test_digests_{run}_{name}")
 
 
 def test_fingerprints(edge, none):
