@@ -386,6 +386,9 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN l_orderkey % 5 = 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) END AS q FROM lineitem)""",
         "ingest_rows": c_text,
         "scan_dump_files": c_text,
+        "scan_documents": c_text,
+        "scan_mixed_files": """SELECT 'customer' AS "table", 'docx' AS kind, count(*) AS row_count FROM customer
+          UNION ALL SELECT 'supplier', 'txt', count(*) FROM supplier""",
         "scan_dump_statements": c_text,
         "ingest_quoted_text": f"""SELECT CAST(page_id AS VARCHAR) AS page_id, trim(url, {BLANKS}) AS url,
           trim(html, {BLANKS}) AS html FROM pages""",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import uuid
-from collections.abc import Callable, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
+from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,7 @@ from sparkrecon.plans import pairs
 from sparkrecon.plans.validation import reconcile_inserts, run
 from sparkrecon.sources.dumps import (
     ingest_directory,
+    ingest_files,
     inserts,
     parse_statements,
     rejects,
@@ -544,6 +550,57 @@ def _scanned(spark, sf, options: IngestOptions) -> DataFrame:
     return to_table(to_rows(ingest_directory(spark, folder, options)), df.columns)
 
 
+def _written_documents(spark: SparkSession, texts: DataFrame) -> str:
+    """Word documents below a new folder, one per text and a paragraph per line; a task
+    that is repeated writes the same files again."""
+    folder = f"{stage_folder(spark)}/documents-{uuid.uuid4()}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        storage, top = fs.FileSystem.from_uri(folder)
+        storage.create_dir(top, recursive=True)
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                body = "".join(
+                    f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>'
+                    for line in content.split("\n")
+                )
+                payload = io.BytesIO()
+                with zipfile.ZipFile(payload, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr(
+                        "word/document.xml",
+                        f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>',
+                    )
+                name = path.strip("/").replace("/", "-").removesuffix(".sql")
+                with storage.open_output_stream(f"{top}/{name}.docx") as out:
+                    out.write(payload.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    texts.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def scan_documents(spark, sf):
+    """Word documents with dumps of a table in, the table out."""
+    df = pairs.customer(spark, sf)
+    folder = _written_documents(spark, _dump(df, "crm.customer", "c_custkey", df.columns))
+    return to_table(to_rows(ingest_directory(spark, folder)), df.columns)
+
+
+def scan_mixed_files(spark, sf):
+    """Documents and text dumps in one list of files, told apart by their endings; rows
+    of each kind by table and dialect of the file."""
+    customer, supplier = pairs.customer(spark, sf), pairs.supplier(spark, sf)
+    folders = (
+        _written_documents(spark, _dump(customer, "crm.customer", "c_custkey", customer.columns)),
+        _written(spark, _dump(supplier, "crm.supplier", "s_suppkey", supplier.columns)),
+    )
+    files = [f for folder in folders for f in spark.read.format("binaryFile").load(folder).inputFiles()]
+    rows = ingest_files(spark, files)
+    kind = F.regexp_extract("ord.path", r"\.(\w+)$", 1).alias("kind")
+    return rows.groupBy("table", kind).agg(F.count("*").alias("row_count"))
+
+
 def scan_dump_files(spark, sf):
     return _scanned(spark, sf, IngestOptions())
 
@@ -882,6 +939,8 @@ def queries() -> dict[str, Query]:
         "first_values": first_values,
         "ingest_rows": ingest_rows,
         "scan_dump_files": scan_dump_files,
+        "scan_documents": scan_documents,
+        "scan_mixed_files": scan_mixed_files,
         "scan_dump_statements": scan_dump_statements,
         "ingest_quoted_text": ingest_quoted_text,
         "ingest_long_text": ingest_long_text,
