@@ -10,9 +10,10 @@
    pivot take over its component: what the pivot's component answers, they need not
    ask again. A list whose sets are all in one component is skipped whole. A few
    rounds with other pivots leave little.
-5. Lists that still hold several components are joined in full, skipping blocks of
-   sizes that cannot match and pairs whose positions in the list's sets leave too
-   few common shingles.
+5. Lists that still hold several components are joined in full. A set's position in
+   a list bounds the size of its partners there: sets without a possible size leave
+   the list, the others meet only the blocks of sizes up to that bound, and of these
+   only pairs whose marks, a parity per hash of a shingle, differ in few enough bits.
 6. All links lie within components. Each set's partners there follow from those of a
    similar set, its pivot: the pivot's numbers of common shingles, corrected by the
    lists of the shingles that only one of the two has. Large components are cut into
@@ -41,6 +42,9 @@ COUNT_BYTES = 6 << 20
 #: Rounds with pivots at most, and pairs per indexed set that the full join may take
 #: over from them.
 PIVOT_ROUNDS, LEFT_PAIRS = 4, 20
+#: Longs of a set's mark, blocks of sizes up to a factor of 4/3, and rows of a list that
+#: one task of the full join takes on one side.
+MARK_LONGS, SIZE_BLOCKS, LIST_ROWS = 8, 8, 1024
 #: Sets and shingles of a block of a component, about.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
 #: Small components in one group of the step that counts links, by their shingles.
@@ -172,12 +176,13 @@ def _shared_tokens(homes: int):
     return run
 
 
-_SETS = "node long, n int, tokens array<long>"
+_SETS = "node long, n int, tokens array<long>, mark array<long>"
 
 
 def _sets(table: pa.Table) -> pa.Table:
     """A home's sets: size, and for sets that may have a partner the shared tokens,
-    rarest first (ties by token); null for the others."""
+    rarest first (ties by token), and their mark, in which each token turns the bit of
+    its lowest bits over; null for the others."""
     rows = table.to_pydict()
     nodes = np.frombuffer(b"".join(rows["nodes"]), "<i8")
     sizes = np.frombuffer(b"".join(rows["sizes"]), "<u4").astype(np.int64)
@@ -198,13 +203,22 @@ def _sets(table: pa.Table) -> pa.Table:
         pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens, pa.int64()),
         mask=pa.array(~may),
     )
+    bits = tokens.view(np.uint64)
+    marks = np.zeros((len(known), MARK_LONGS), np.uint64)
+    at = (owner[order], (bits % np.uint64(MARK_LONGS)).astype(np.int64))
+    np.bitwise_xor.at(marks, at, np.uint64(1) << (bits // np.uint64(MARK_LONGS)) % np.uint64(64))
+    marks = pa.ListArray.from_arrays(
+        pa.array(np.arange(len(known) + 1, dtype=np.int32) * MARK_LONGS),
+        pa.array(marks.reshape(-1).view(np.int64)), mask=pa.array(~may),
+    )
     return pa.Table.from_arrays(
-        [pa.array(known, pa.int64()), pa.array(n, pa.int32()), lists], names=["node", "n", "tokens"]
+        [pa.array(known, pa.int64()), pa.array(n, pa.int32()), lists, marks],
+        names=["node", "n", "tokens", "mark"],
     )
 
 
 def sets_of(texts: DataFrame, ranges: int) -> DataFrame:
-    """Sets ``(node, n, tokens)`` of distinct ``(node, text)`` rows; a text without
+    """Sets ``(node, n, tokens, mark)`` of distinct ``(node, text)`` rows; a text without
     words has no row."""
     blobs = texts.mapInArrow(_shingle_blobs(ranges), _BLOBS)
     shared = blobs.groupBy("range").applyInArrow(_shared_tokens(ranges), _SHARED)
@@ -233,18 +247,21 @@ def _sizes_fit(n: str, m: str) -> Column:
     return small * DENOMINATOR >= large * NUMERATOR
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with their sets' component; lists of one component are left out."""
+def _labelled(postings: DataFrame, labels: DataFrame | None, marks: DataFrame | None = None) -> DataFrame:
+    """Postings with their sets' component, the rows of their list and, if given, the
+    columns of ``marks``; lists of one component are left out."""
+    found = postings if marks is None else postings.join(marks, "node")
     if labels is None:
-        with_label = postings.withColumn("component", F.col("node"))
+        with_label = found.withColumn("component", F.col("node"))
     else:
-        found = postings.join(labels, "node", "left")
+        found = found.join(labels, "node", "left")
         with_label = found.withColumn("component", F.coalesce("component", "node"))
+    least, most = F.min("component").alias("x"), F.max("component").alias("y")
     several = (
-        with_label.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .where("x != y").select("token")
+        with_label.groupBy("token").agg(least, most, F.count("*").alias("list_rows"))
+        .where("x != y").select("token", "list_rows")
     )
-    return staged(with_label.join(several, "token", "left_semi"))
+    return staged(with_label.join(several, "token"))
 
 
 def _pairs_left(postings: DataFrame) -> int:
@@ -267,20 +284,43 @@ def _pivot_pairs(postings: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _size_block(n: Column) -> Column:
+    """The block of a size; it never falls as the size grows."""
+    width = F.log(F.lit(DENOMINATOR / NUMERATOR)) / SIZE_BLOCKS
+    return F.floor(F.log(n.cast("double")) / width).cast("int")
+
+
 def _all_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of different components in a list that sizes and positions allow. Sizes
-    form blocks by powers of 4/3, and a block meets itself and the next one only."""
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))
-    rows = postings.withColumn("block", block.cast("int"))
-    left = rows.select("token", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)).alias("block"),
-        F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"))
-    right = rows.select("token", "block",
-        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("component").alias("bc"))
-    most = 1 + F.least(F.col("an") - F.col("ap") - 1, F.col("bn") - F.col("bp") - 1)
-    # |x & y| >= 3/7 (|x| + |y|) for links.
-    enough = most * (NUMERATOR + DENOMINATOR) >= (F.col("an") + F.col("bn")) * NUMERATOR
-    joined = left.join(right, ["token", "block"]).where("a < b and ac != bc")
-    return joined.where(_sizes_fit("an", "bn") & enough).select("a", "b").distinct()
+    """Pairs of different components in a list that sizes, positions and marks allow.
+
+    Links have |x & y| >= 3/7 (|x| + |y|). What stands from a set's position on bounds
+    |x & y|, and so the size ``most`` of a partner. Each set meets the blocks of sizes
+    that are not larger than its own; a long list is dealt over several tasks."""
+    both = NUMERATOR + DENOMINATOR
+    most = F.floor(((F.col("n") - F.col("place")) * both - F.col("n") * NUMERATOR) / NUMERATOR)
+    rows = postings.withColumn("most", most.cast("int")).where(F.col("most") >= _needed(F.col("n")))
+    salts = F.ceil(F.col("list_rows") / LIST_ROWS).cast("int")
+    n = F.col("n")
+    blocks = F.sequence(_size_block(_needed(n)), _size_block(F.least("n", "most")))
+    left = rows.select(
+        "token", F.explode(blocks).alias("block"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"),
+        *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "most", "component", "k", "mark")),
+    )
+    right = rows.where("most >= n").select(
+        "token", _size_block(n).alias("block"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
+        *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "most", "component", "k", "mark")),
+    )
+    differ = sum(
+        (F.bit_count(F.get("a_mark", F.lit(i)).bitwiseXOR(F.get("b_mark", F.lit(i)))) for i in range(MARK_LONGS)),
+        F.lit(0),
+    )
+    # Twice |x & y| is at most the tokens of both less the bits that differ.
+    enough = (F.col("a_k") + F.col("b_k") - differ) * both >= (F.col("a_n") + F.col("b_n")) * (2 * NUMERATOR)
+    smaller = F.expr("b_n < a_n or (b_n = a_n and b_node < a_node)")
+    fits = F.expr("b_n <= a_most and a_n <= b_most and a_component != b_component")
+    joined = left.join(right, ["token", "block", "salt"])
+    joined = joined.where(smaller & fits & _sizes_fit("a_n", "b_n") & enough)
+    return joined.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -303,7 +343,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_components(sets: DataFrame) -> DataFrame | None:
     """``(node, component)`` of the sets that are linked with others."""
-    indexed = staged(sets.where("tokens is not null").select("node", "n", "tokens"))
+    indexed = staged(sets.where("tokens is not null").select("node", "n", "tokens", "mark"))
     total = indexed.count()
     if total < 2:
         return None
@@ -326,7 +366,8 @@ def linked_components(sets: DataFrame) -> DataFrame | None:
         if pairs <= LEFT_PAIRS * total:
             break
         labels = joined(_pivot_pairs(left, turn))
-    return joined(_all_pairs(_labelled(postings, labels)))
+    marks = indexed.select("node", F.size("tokens").alias("k"), "mark")
+    return joined(_all_pairs(_labelled(postings, labels, marks)))
 
 
 def _positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -276,6 +276,47 @@ def test_jaccard_join(spark, edge, none, monkeypatch, rounds):
     assert kept.columns == edge.columns and ids == [1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+def list_pairs(spark, texts):
+    """The sets of texts, and the pairs that the full join of their lists verifies."""
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = jaccard_join.staged(jaccard_join.sets_of(spark.createDataFrame(rows, "node long, text string"), 2))
+    found = []
+    all_pairs = jaccard_join._all_pairs
+
+    def noted(postings):
+        pairs = all_pairs(postings)
+        found.extend(tuple(sorted(r)) for r in pairs.collect())
+        return pairs
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard_join, "_all_pairs", noted)
+        patch.setattr(jaccard_join, "PIVOT_ROUNDS", 0)
+        jaccard_join.linked_components(sets)
+    return [shingle_set(t) for t in texts], found
+
+
+@pytest.mark.parametrize("list_rows", [4, 1024])
+def test_jaccard_lists(spark, monkeypatch, list_rows):
+    """Positions alone skip boilerplate just below the threshold; no link is skipped,
+    with long lists dealt over tasks or not."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", list_rows)
+    common = " ".join(f"c{i}" for i in range(84))
+    texts = [f"{common} " + " ".join(f"o{t}x{i}" for i in range(20)) for t in range(60)]
+    assert list_pairs(spark, texts)[1] == []
+    words = [f"w{i}" for i in range(120)]
+    rng = np.random.default_rng(8)
+    edited = []
+    for _ in range(40):
+        text = words[: int(rng.integers(90, 121))]
+        for at in rng.choice(len(text), int(rng.integers(0, 5)), replace=False):
+            text[at] = f"e{rng.integers(6)}"
+        edited.append(" ".join(text))
+    edited = sorted(set(edited))
+    sets, found = list_pairs(spark, edited)
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if linked(sets[i], sets[j])}
+    assert len(found) == len(set(found)) and links <= set(found) and 20 < len(links)
+
+
 def linked(a, b):
     return a and b and 4 * len(a & b) >= 3 * len(a | b)
 
