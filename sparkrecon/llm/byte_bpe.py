@@ -7,16 +7,19 @@
    ``aggregate`` over a word's array of bytes merges the adjacent pair of lowest rank
    until no pair has one. Ranks are a literal of the plan, a map cut into small
    buckets by CRC so that a look-up reads one or two entries; the vocabulary bounds it.
-3. A bucket gives its words' ids back to the blocks, packed.
+3. A bucket's ids are written with the places each block asks for, and go back to the
+   blocks from there, packed: words shuffle once.
 4. A block turns its codes into ids, and ids into text by joining binary pieces.
 
-So neither single words of texts nor the corpus' dictionary ever meet in one task,
+A fold copies its arrays in each step, so a very long word is merged through a queue of
+pairs instead, with the same merges in the same order. So neither single words of texts nor the corpus' dictionary ever meet in one task,
 and texts do not shuffle as rows of words."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import uuid
 import zlib
@@ -41,8 +44,11 @@ JAVA_PATTERN = (
 NO_RANK = 2**31 - 1
 #: Words of texts after which a block ends, and the codes' bytes that are kept apart.
 BLOCK_WORDS, PLANES = 4_000_000, 4
-#: Bytes of compressed input for each bucket of words.
-BUCKET_BYTES = 4 << 20
+#: Bytes of compressed input for each bucket of words, and buckets at most: a dictionary
+#: grows slower than its corpus.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 16
+#: Bytes of a word from which on a queue merges it.
+LONG_WORD = 512
 
 
 @lru_cache(maxsize=4)
@@ -87,13 +93,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, path: str) -> Column:
-    """The word's token ids: the fold of its bytes by ranked merges.
+def fold_words(words: Column, path: str) -> Column:
+    """The token ids of each word of an array, null for words of ``LONG_WORD`` bytes and
+    more: the fold of a word's bytes by ranked merges.
 
     The state is the array of pieces and the array of ranks of adjacent pairs. A
     step merges the leftmost pair of lowest rank and looks up only the two pairs
     that the merge changes."""
-    return let(rank_table(path), lambda table: _fold(word, table, _buckets(path)[1]))
+    buckets = _buckets(path)[1]
+
+    def folded(table: Column) -> Column:
+        short = lambda word: F.octet_length(word) < LONG_WORD
+        return F.transform(words, lambda word: F.when(short(word), _fold(word, table, buckets)))
+
+    return let(rank_table(path), folded)
+
+
+def merged_ids(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The token ids of one word, its pairs in a queue by rank and position. A byte
+    without a rank gives ``NO_RANK``, as in the fold."""
+    size = len(word)
+    ends, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    alive, queue = bytearray(b"\1" * size), []
+
+    def push(start: int) -> None:
+        if start >= 0 and ends[start] < size:
+            end = ends[ends[start]]
+            rank = table.get(word[start:end])
+            if rank is not None:
+                heapq.heappush(queue, (rank, start, end))
+
+    for start in range(size):
+        push(start)
+    while queue:
+        _, start, end = heapq.heappop(queue)
+        middle = ends[start]
+        # A pair whose pieces have changed since has another end or none.
+        if not alive[start] or middle >= size or ends[middle] != end:
+            continue
+        alive[middle], ends[start] = 0, end
+        if end < size:
+            before[end] = start
+        push(before[start])
+        push(start)
+    return [table.get(word[i : ends[i]], NO_RANK) for i in range(size) if alive[i]]
 
 
 def _fold(word: Column, table: Column, buckets: int) -> Column:
@@ -268,38 +311,59 @@ def _blocks(buckets: int):
     return run
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    """A bucket's rows to its distinct words."""
-    lists = [_unpacked_words(data) for data in table.column("words").to_pylist()]
-    words = pc.unique(pa.concat_arrays(lists))
-    bucket = pa.array([table.column("bucket")[0].as_py()] * len(words), pa.int32())
-    return pa.Table.from_arrays([bucket, words], names=["bucket", "word"])
+_ASKED = "bucket int, words array<string>, blocks array<string>, wanted array<binary>"
 
 
-def _given_back(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """The ids of each block's words of a bucket, in the order of its list."""
-    if not asked.num_rows:
-        return pa.table(
-            {"block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()),
-             "given": pa.array([], pa.binary())}
-        )
-    words = known.column("word").combine_chunks()
-    lists = known.column("ids").combine_chunks()
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids, starts = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
-    rows: list[list] = [[], [], []]
-    for row in range(asked.num_rows):
-        at = pc.index_in(_unpacked_words(asked.column("words")[row].as_py()), words).to_numpy()
-        rows[0].append(asked.column("block")[row].as_py())
-        rows[1].append(asked.column("bucket")[row].as_py())
-        own = _gathered(ids, starts[at], sizes[at]).astype("<u4").tobytes()
-        rows[2].append(_zipped(sizes[at].astype("<u4").tobytes(), own))
+def _asked(table: pa.Table) -> pa.Table:
+    """A bucket's rows to one: its distinct words, and for each block the places of its
+    words among them."""
+    lists = [_unpacked_words(data) for data in table.column("words").to_pylist()]
+    words = pc.unique(pa.concat_arrays(lists))
+    wanted = [_zipped(pc.index_in(own, words).to_numpy().astype("<u4").tobytes()) for own in lists]
     return pa.table(
         {
-            "block": pa.array(rows[0], pa.string()), "bucket": pa.array(rows[1], pa.int32()),
-            "given": pa.array(rows[2], pa.binary()),
+            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
+            "words": pa.array([words.to_pylist()], pa.list_(pa.string())),
+            "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.string())),
+            "wanted": pa.array([wanted], pa.list_(pa.binary())),
         }
-    )
+    )
+
+
+_GIVEN = "block string, bucket int, given binary"
+
+
+def _given_back(path: str):
+    """Rows ``(bucket, ids, long_words, blocks, wanted)`` to the ids of each block's words,
+    in the order of its list."""
+    table = ranks(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = batch.column("ids")[row].values
+                rest = batch.column("long_words")[row].as_py()
+                if rest:
+                    found = lists.to_pylist()
+                    gaps = [i for i, own in enumerate(found) if own is None]
+                    for i, word in zip(gaps, rest, strict=True):
+                        found[i] = merged_ids(word.encode(), table)
+                    lists = pa.array(found, pa.list_(pa.int32()))
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, starts = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
+                blocks = batch.column("blocks")[row].as_py()
+                given = []
+                for wanted in batch.column("wanted")[row].as_py():
+                    at = np.frombuffer(_unzipped(wanted)[0], "<u4")
+                    own = _gathered(ids, starts[at], sizes[at]).astype("<u4").tobytes()
+                    given.append(_zipped(sizes[at].astype("<u4").tobytes(), own))
+                bucket = batch.column("bucket")[row].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.string()), pa.array([bucket] * len(blocks), pa.int32()), pa.array(given, pa.binary())],
+                    ["block", "bucket", "given"],
+                )
+
+    return run
 
 
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -321,46 +385,66 @@ class Decoder:
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
 
     def decode(self, ids: np.ndarray) -> bytes:
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
         return _gathered(self.data, self.starts[ids], self.sizes[ids]).tobytes()
 
 
 _CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_ENCODED = "doc_id long, ids array<int>"
+_DECODED = "doc_id long, bytes binary"
 
 
-def _assembled(path: str):
-    table = ranks(path)
+def _assembled(build: Callable[[list, list[np.ndarray]], pa.Table]):
+    """Blocks and the ids of their words to tables, by ``build``, of document ids and
+    each document's token ids."""
 
     def run(texts: pa.Table, given: pa.Table) -> pa.Table:
-        decoder = Decoder(table)
-        found: list[list] = [[], [], [], []]
+        doc_ids, tokens = [], []
+        order = np.argsort(given.column("bucket").to_numpy(), kind="stable")
+        parts = [_unzipped(given.column("given")[int(i)].as_py()) for i in order]
+        # By place, that is by bucket; then by code.
+        ids = np.frombuffer(b"".join(p[1] for p in parts), "<u4")
+        lengths = np.frombuffer(b"".join(p[0] for p in parts), "<u4").astype(np.int64)
         for row in texts.to_pylist():
-            order = np.argsort(given.column("bucket").to_numpy(), kind="stable")
-            parts = [_unzipped(given.column("given")[int(i)].as_py()) for i in order]
-            # By place, that is by bucket; then by code.
-            ids = np.frombuffer(b"".join(p[1] for p in parts), "<u4")
-            sizes = np.frombuffer(b"".join(p[0] for p in parts), "<u4").astype(np.int64)
             places = np.frombuffer(row["places"], "<u4")
-            starts, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
+            starts, sizes = (np.cumsum(lengths) - lengths)[places], lengths[places]
             counts = np.frombuffer(row["counts"], "<i4")
             codes = _unpacked(row["codes"], int(counts.sum()))
             first = 0
             for doc_id, count in zip(row["doc_ids"], counts, strict=True):
                 own = codes[first : first + count]
                 first += count
-                tokens = _gathered(ids, starts[own], sizes[own])
-                found[0].append(doc_id)
-                found[1].append(len(tokens))
-                found[2].append(hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest())
-                found[3].append(hashlib.sha256(decoder.decode(tokens)).hexdigest())
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [field.split()[0] for field in _CODED.split(", ")]
-        return pa.Table.from_arrays(
-            [pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=names
-        )
+                doc_ids.append(doc_id)
+                tokens.append(_gathered(ids, starts[own], sizes[own]))
+        return build(doc_ids, tokens)
 
     return run
 
 
+def _ids(doc_ids: list, tokens: list[np.ndarray]) -> pa.Table:
+    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+    values = np.concatenate([np.empty(0, "<u4"), *tokens]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
+
+
+def _digests(path: str):
+    table = ranks(path)
+
+    def build(doc_ids: list, tokens: list[np.ndarray]) -> pa.Table:
+        decoder, sha256 = Decoder(table), hashlib.sha256
+        return pa.table(
+            {
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
+                "ids_sha256": pa.array([sha256(t.astype("<u4").tobytes()).hexdigest() for t in tokens], pa.string()),
+                "decoded_sha256": pa.array([sha256(decoder.decode(t)).hexdigest() for t in tokens], pa.string()),
+            }
+        )
+
+    return build
+
+
 def _written(blocks: DataFrame, buckets: int) -> DataFrame:
     """The blocks' rows as a table bucketed by block, so that texts don't shuffle again
     when their words' ids come back."""
@@ -372,32 +456,63 @@ def _written(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.sparkSession.table(name)
 
 
-def encode_digests(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row: the digests of its
-    ids as little-endian unsigned 32-bit integers and of the bytes they decode to.
-
-    A null or empty text has no ids. Repeated rows give a row each, an empty table
-    none. A very long word costs time by its length times its merges."""
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, build, schema: str) -> DataFrame:
     words = F.regexp_extract_all(
         F.coalesce(F.col(text_col), F.lit("")), F.lit(JAVA_PATTERN), F.lit(0)
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    buckets = parts_for(docs, BUCKET_BYTES)
+    buckets = min(parts_for(docs, BUCKET_BYTES), MOST_BUCKETS)
     blocks = _written(rows.mapInArrow(_blocks(buckets), _BLOCK), buckets)
     asked = blocks.where(F.col("kind") == WORDS).select("bucket", "block", "words")
-    distinct = asked.select("bucket", "words").groupBy("bucket").applyInArrow(
-        _distinct, "bucket int, word string"
-    )
-    known = staged(distinct.select("bucket", "word", fold_word(F.col("word"), path).alias("ids")))
-    given = (
-        asked.groupBy("bucket").cogroup(known.groupBy("bucket"))
-        .applyInArrow(_given_back, "block string, bucket int, given binary")
+    asked = asked.groupBy("bucket").applyInArrow(_asked, _ASKED)
+    long_words = F.filter("words", lambda word: F.octet_length(word) >= LONG_WORD)
+    folded = staged(
+        asked.select(
+            "bucket", fold_words(F.col("words"), path).alias("ids"), long_words.alias("long_words"),
+            "blocks", "wanted",
+        )
     )
+    given = folded.mapInArrow(_given_back(path), _GIVEN)
     texts = blocks.where(F.col("kind") == TEXTS).select(
         "block", "doc_ids", "counts", "codes", "places"
     )
     return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(
-        _assembled(path), _CODED
+        _assembled(build), schema
+    )
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids)`` of each row: its text's token ids, as integers.
+
+    A null or empty text has no ids. Repeated rows give a row each, an empty table
+    none."""
+    return _encoded(docs, path, id_col, text_col, _ids, _ENCODED)
+
+
+def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``(doc_id, bytes)`` of each row: the pieces of its ids, joined. Ids may end within a
+    character, so these are bytes, not a text. Null ids give no bytes, and neither does
+    an id that is null or that the vocabulary lacks. Repeated rows give a row each."""
+    table = ranks(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(table)
+        for batch in batches:
+            lists = batch.column("ids").to_pylist()
+            ids = [np.array([i for i in own or [] if i is not None], np.int64) for own in lists]
+            found = pa.array([decoder.decode(own) for own in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "bytes"])
+
+    rows = coded.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")
     )
+    return rows.mapInArrow(run, _DECODED)
+
+
+def encode_digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row: the digests of its
+    ids as little-endian unsigned 32-bit integers and of the bytes they decode to.
+    Rows are handled as by :func:`encode`."""
+    return _encoded(docs, path, id_col, text_col, _digests(path), _CODED)

@@ -53,6 +53,34 @@ def test_byte_bpe(edge, none):
     rows = byte_bpe.encode_digests(edge, RANKS).collect()
     assert Counter(tuple(r) for r in rows) == want
     assert byte_bpe.encode_digests(none, RANKS).collect() == []
+    coded = byte_bpe.encode(edge, RANKS)
+    want = Counter((i, tuple(encoding.encode_ordinary(text or ""))) for i, text in EDGE)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == want
+    texts = Counter((r.doc_id, bytes(r.bytes)) for r in byte_bpe.decode(coded, RANKS).collect())
+    assert texts == Counter((i, (text or "").encode()) for i, text in EDGE)
+    odd = coded.sparkSession.createDataFrame([(1, None), (2, [-1, 0, None, 10**6])], "doc_id long, ids array<int>")
+    piece = encoding.decode_single_token_bytes(0)
+    assert [bytes(r.bytes) for r in byte_bpe.decode(odd, RANKS).collect()] == [b"", piece]
+
+
+def test_byte_bpe_long_words(spark, monkeypatch):
+    """Words on both sides of the bound, equal ones in many blocks, a word of a megabyte."""
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 1)
+    encoding = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(RANKS), special_tokens={}
+    )
+    rng = np.random.default_rng(3)
+    letters = ["".join(rng.choice(list("abcdeéß中"), n)) for n in (100, 255, 511, 512, 513, 4000)]
+    texts = [*letters, "a" * 512, "ab" * 700, " ".join([*letters, "one two"]), "one two"] * 2
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(docs, RANKS).collect()}
+    assert got == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    word = "".join(rng.choice(list("etaoinshrdlu"), 1 << 20))
+    table = byte_bpe.ranks(RANKS)
+    assert byte_bpe.merged_ids(word[:20000].encode(), table) == encoding.encode_ordinary(word[:20000])
+    data = spark.createDataFrame([(1, word)], "doc_id long, text string")
+    (row,) = byte_bpe.decode(byte_bpe.encode(data, RANKS), RANKS).collect()
+    assert bytes(row.bytes).decode() == word
 
 
 def test_word_encoder_is_the_library():
