@@ -72,7 +72,8 @@ class FlatFile:
 def write_tokens(
     docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Write the files; return the manifest ``(part, name, n_docs, n_tokens, base)``.
+    """Write the files; return the manifest ``(part, name, n_docs, n_tokens, base,
+    offsets)``, with the names of a part's offsets and of its other files.
 
     Ids are those of the vocabulary at ``path``, each document's end with ``END_ID``.
     A null text counts as empty, a null id comes first; rows of one id follow in the
@@ -82,7 +83,7 @@ def write_tokens(
     bounds = id_ranges(rows, "doc_id", parts)
     dealt = (
         rows.withColumn("part", range_of(F.col("doc_id"), bounds))
-        .repartition(parts, "part")
+        .repartitionById(parts, "part")
         .sortWithinPartitions("part", "doc_id", "text")
         .select("part", "doc_id", "text")
     )
@@ -139,16 +140,21 @@ def write_tokens(
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _place(folder)
         for batch in batches:
+            names = []
             for row in batch.to_pylist():
+                # A name of this attempt: another one may write the same part's offsets.
+                names.append(f"{row['part']:06d}-{uuid.uuid4().hex}")
                 lengths = FlatFile(folder, f"lengths-{row['name']}.bin", "<i8")
                 sums = np.zeros(row["n_docs"] + 1, "<u8")
                 np.cumsum(lengths.read(0, row["n_docs"]), out=sums[1:])
-                with system.open_output_stream(f"{root}/offsets-{row['name']}.bin") as stream:
+                with system.open_output_stream(f"{root}/offsets-{names[-1]}.bin") as stream:
                     stream.write((sums + np.uint64(row["base"])).tobytes())
-            yield batch
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, "offsets"]
+            )
 
-    tasks = based.repartition(max(1, min(parts, 1000)), "part")
-    return staged(tasks.mapInArrow(offsets, f"{_MANIFEST}, base long"))
+    tasks = based.repartitionById(max(1, min(parts, 1000)), "part")
+    return staged(tasks.mapInArrow(offsets, f"{_MANIFEST}, base long, offsets string"))
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -169,7 +175,7 @@ def read_tokens(manifest: DataFrame, folder: str, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = FlatFile(folder, f"ids-{row['name']}.bin", kind)
                 docs = FlatFile(folder, f"docs-{row['name']}.bin", "<i8")
-                starts = FlatFile(folder, f"offsets-{row['name']}.bin", "<u8")
+                starts = FlatFile(folder, f"offsets-{row['offsets']}.bin", "<u8")
                 for first in range(0, row["n_docs"], ROWS):
                     last = min(first + ROWS, row["n_docs"])
                     found = []
@@ -180,7 +186,7 @@ def read_tokens(manifest: DataFrame, folder: str, path: str) -> DataFrame:
                         found.append((doc_id, int(a), int(b - a), zlib.crc32(own.tobytes())))
                     yield _batch(found, names)
 
-    tasks = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 8), "part")
+    tasks = manifest.repartitionById(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 8), "part")
     return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

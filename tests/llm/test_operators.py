@@ -533,6 +533,21 @@ def test_token_files(spark, edge, none, tmp_path):
     assert token_files.round_trip(none, WORDS).count() == 0
 
 
+def test_token_files_of_attempts(spark, monkeypatch, tmp_path):
+    """A part a task; each attempt has files of its own, offsets included."""
+    monkeypatch.setattr(token_files, "PART_BYTES", 1500)
+    docs = spark.createDataFrame([(i, f"text number {i} of many") for i in range(200)], "doc_id long, text string")
+    both = [token_files.write_tokens(docs, str(tmp_path), WORDS) for _ in range(2)]
+    (first, second) = [manifest.collect() for manifest in both]
+    assert len(first) > 20 and len({r.offsets for r in [*first, *second]}) == 2 * len(first)
+    names = {f.name for f in tmp_path.iterdir()}
+    assert all(f"offsets-{r.offsets}.bin" in names and f"ids-{r.name}.bin" in names for r in [*first, *second])
+    dealt = both[0].repartitionById(len(first), "part").select(F.spark_partition_id().alias("at"))
+    assert dealt.distinct().count() == len(first)
+    got = [sorted(map(tuple, token_files.read_tokens(m, str(tmp_path), WORDS).collect())) for m in both]
+    assert got[0] == got[1] and len(got[0]) == 200
+
+
 def test_many_parts(spark, monkeypatch):
     """Ranges of ids, with sorted neighbours across them and sums over them."""
     monkeypatch.setattr(token_files, "PART_BYTES", 1500)
