@@ -83,7 +83,7 @@ class IngestOptions:
     """
 
     split: str = "auto"
-    whole_file_bytes: int = 256 << 20
+    whole_file_bytes: int = 8 << 20
     recursive: bool = False
     quote_aware: bool = False
     backslash_escapes: bool = True
