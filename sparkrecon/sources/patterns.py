@@ -1,6 +1,7 @@
 """Regular expressions of the dump grammar, assembled from a few rules.
 
-Every repetition of a group is possessive: the JVM then matches it in a loop
+What is left of a text is written ``(?s:.*)``, which the JVM skips to its end; a class of
+all signs is looked up sign by sign. Every repetition of a group is possessive: the JVM then matches it in a loop
 instead of recursing per repetition, so literals and tuples may be of any size.
 """
 
@@ -91,7 +92,7 @@ def token_pattern(options: IngestOptions, commas: bool) -> str:
     """Literals, parentheses, commas on request, and what is between them. A literal
     that is never closed takes the rest."""
     cut = "," if commas else ""
-    return rf"""{literal_pattern(options)}|[(){cut}]|[^(){cut}'"]++|['"][\s\S]*+"""
+    return rf"""{literal_pattern(options)}|[(){cut}]|[^(){cut}'"]++|['"](?s:.*)"""
 
 
 def item_pattern(options: IngestOptions) -> str:
@@ -104,7 +105,7 @@ def item_pattern(options: IngestOptions) -> str:
 def closing_patterns(options: IngestOptions) -> dict[str, str]:
     """From inside a literal of each kind, up to its end; group 1 is what follows."""
     if not options.mixed_quotes:
-        return {"any": r"""\A(?:[^'"]++|(?<=\\)['"])*+['"]([\s\S]*+)"""}
+        return {"any": r"""\A(?:[^'"]++|(?<=\\)['"])*+['"]((?s:.*))"""}
     found = {}
     for kind in ("single", "double"):
         quote = QUOTES[kind]
@@ -112,7 +113,7 @@ def closing_patterns(options: IngestOptions) -> dict[str, str]:
             body = rf"[^{quote}\\]++|{quote}{quote}|\\(?:[\s\S]|\z)"
         else:
             body = rf"[^{quote}]++|{quote}{quote}"
-        found[kind] = rf"\A(?:{body})*+{quote}([\s\S]*+)"
+        found[kind] = rf"\A(?:{body})*+{quote}((?s:.*))"
     return found
 
 
@@ -121,4 +122,4 @@ def closed_prefix(options: IngestOptions, without: str = "") -> str:
     kind ``without`` are signs like any other."""
     held = {kind: p for kind, p in literals(options).items() if kind != without}
     signs = "".join(QUOTES[kind] for kind in held)
-    return rf"\A(?:[^{signs}]++|{'|'.join(held.values())})*+([\s\S]*+)"
+    return rf"\A(?:[^{signs}]++|{'|'.join(held.values())})*+((?s:.*))"

@@ -75,3 +75,11 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "a.sql").write_text(row * 12_000)
     found = scan_directory(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(found) > 1 and sum(r["count"] for r in found) == 12_000
+
+
+def test_the_rest_of_a_text_is_skipped_not_looked_up():
+    """Classes of all signs took most of the time of ``quote_aware`` reading."""
+    for options in (IngestOptions(), IngestOptions(backslash_escapes=False), IngestOptions.historic()):
+        used = [P.closed_prefix(options), *P.closing_patterns(options).values()]
+        used.append(P.token_pattern(options, commas=False))
+        assert not [p for p in used if r"[\s\S]*+" in p]
